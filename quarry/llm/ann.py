@@ -112,6 +112,9 @@ def level_for(similarity: np.ndarray, trees: int, miss: float) -> np.ndarray:
 
 def _search(points: pa.Table, asks: pa.Table, k: int) -> pa.Table:
     """The best of a block's points, above its floor, for each query, within the range of its level."""
+    if not points.num_rows or not asks.num_rows:  # a cogroup also has the blocks that one side lacks
+        none = pa.array([], points["id"].type)
+        return pa.table({"id": none, "neighbor": none, "similarity": pa.array([], pa.float64())})
     code = points["c"].to_numpy()
     order = np.argsort(code, kind="stable")
     code, ids = code[order], points["id"].take(pa.array(order)).combine_chunks()
