@@ -73,7 +73,7 @@ def _points(df: DataFrame, id_col: str, vec_col: str, trees: int) -> DataFrame:
                     code[i], raw[i] = c.tolist(), r.tobytes()
             yield pa.RecordBatch.from_arrays([C.column(b, "id"), pa.array(dims.astype(np.int32)), pa.array(code, pa.list_(pa.int64())), pa.array(raw, pa.binary())], ["id", "dim", "code", "x"])
 
-    return slim.mapInArrow(run, f"id {dict(slim.dtypes)['id']}, dim int, code array<bigint>, x binary")
+    return C.map_arrow(slim, run, f"id {dict(slim.dtypes)['id']}, dim int, code array<bigint>, x binary")
 
 
 def split(counts: dict[int, int], block: int, depth: int = SPLIT_BITS) -> dict[int, tuple[int, int]]:
@@ -169,7 +169,7 @@ def _spread(asks: DataFrame, blocks: dict[tuple[int, int], list[tuple[int, int]]
             take = b.take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([C.column(take, n) for n in ("id", "dim", "level", "floor", "x")] + [pa.array(tree, pa.int32()), pa.array(c, pa.int64()), pa.array(prefix, pa.int64()), pa.array(bits, pa.int32())], ["id", "dim", "level", "floor", "x", "tree", "c", "prefix", "bits"])
 
-    return asks.select("id", "dim", "level", "floor", "x", "code").mapInArrow(run, f"id {kind}, dim int, level bigint, floor double, x binary, tree int, c bigint, prefix bigint, bits int")
+    return C.map_arrow(asks.select("id", "dim", "level", "floor", "x", "code"), run, f"id {kind}, dim int, level bigint, floor double, x binary, tree int, c bigint, prefix bigint, bits int")
 
 
 def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, trees: int = TREES, candidates: int = CANDIDATES, block: int = BLOCK, miss: float = MISS) -> DataFrame:

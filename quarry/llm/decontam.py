@@ -186,7 +186,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                 rows, ids, dist = zip(*got) if got else ((), (), ())
                 yield pa.RecordBatch.from_arrays([C.column(b, "doc_id").take(pa.array(rows, pa.int64())), pa.array(ids, kind), pa.array(dist, pa.int32())], ["doc_id", "item_id", "distance"])
 
-        part = slim.mapInArrow(run, schema)
+        part = C.map_arrow(slim, run, schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -201,5 +201,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             for b in batches:
                 yield b.filter(pa.array([not f for f in held.value.search(b.column(place))], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = C.map_arrow(docs, run, docs.schema)
     return docs

@@ -103,4 +103,4 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
                 text = [extract(x, width, surge, dive) for x in C.column(b, "html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([C.column(b, "page_id"), pa.array(text, pa.string()), pa.array([None if x is None else len(x) for x in text], pa.int64())], ["page_id", "text", "n_chars"])
 
-    return slim.mapInArrow(run, f"page_id {dict(slim.dtypes)['page_id']}, text string, n_chars bigint")
+    return C.map_arrow(slim, run, f"page_id {dict(slim.dtypes)['page_id']}, text string, n_chars bigint")

@@ -132,7 +132,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
                 bits = pa.array([r.tobytes() for r in np.packbits(presence(buf, offs), axis=1)], pa.binary())
                 yield pa.RecordBatch.from_arrays([C.column(part, "label"), C.column(part, "id").cast(pa.string()), pa.array(_has_letter(buf, offs)), bits], ["label", "id", "ok", "bits"])
 
-    p = chosen.mapInArrow(run, "label string, id string, ok boolean, bits binary").where("ok").toPandas()
+    p = C.map_arrow(chosen, run, "label string, id string, ok boolean, bits binary").where("ok").toPandas()
     if p.empty:
         return None
     p = p.sort_values(["label", "id", "bits"]).drop_duplicates(["label", "id"])
@@ -174,7 +174,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             language, score, margin, coverage, ok = predict(C.column(b, "text"), held.value, min_coverage)
             yield pa.RecordBatch.from_arrays([C.column(b, "doc_id"), pa.array(language, pa.string()), pa.array(score, from_pandas=True), pa.array(margin, from_pandas=True), pa.array(coverage, from_pandas=True), pa.array(ok)], ["doc_id", "language", "score", "margin", "coverage", "accepted"])
 
-    return slim.mapInArrow(run, f"doc_id {dict(slim.dtypes)['doc_id']}, language string, score double, margin double, coverage double, accepted boolean")
+    return C.map_arrow(slim, run, f"doc_id {dict(slim.dtypes)['doc_id']}, language string, score double, margin double, coverage double, accepted boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text", min_coverage: float = MIN_COVERAGE) -> DataFrame:
@@ -185,4 +185,4 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
         for b in batches:
             yield b.filter(pa.array(predict(b.column(place), held.value, min_coverage)[4]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return C.map_arrow(docs, run, docs.schema)

@@ -45,7 +45,7 @@ def token_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             n = [0 if t.as_py() is None else len(token_output.tokenize(t.as_py(), path)) for t in C.column(b, "text")]
             yield pa.RecordBatch.from_arrays([C.column(b, "doc_id"), C.column(b, "text_hash"), pa.array(n, pa.int64())], ["doc_id", "text_hash", "n_tokens"])
 
-    return slim.mapInArrow(run, f"doc_id {dict(slim.dtypes)['doc_id']}, text_hash bigint, n_tokens bigint")
+    return C.map_arrow(slim, run, f"doc_id {dict(slim.dtypes)['doc_id']}, text_hash bigint, n_tokens bigint")
 
 
 def place(sizes: np.ndarray, capacity: int, linear: float = LINEAR, quadratic: float = QUADRATIC) -> np.ndarray:

@@ -135,7 +135,7 @@ def corpus_vectors(docs: DataFrame, text_col: str = "text") -> Vectors:
         vec = pa.array(total[k].tolist(), pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(k, -1).astype(np.int32)), pa.array(np.append(df[k], n)), pa.concat_arrays([vec, pa.array([[0] * CONTEXT_DIM], pa.list_(pa.int64()))])], ["slot", "df", "v"])
 
-    part = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "slot int, df bigint, v array<bigint>")
+    part = C.map_arrow(docs.select(F.col(text_col).alias("text")), run, "slot int, df bigint, v array<bigint>")
     p = part.groupBy("slot").agg(F.sum("df").alias("df"), F.array(*[F.sum(F.col("v")[i]) for i in range(CONTEXT_DIM)]).alias("v")).toPandas()  # at most SLOTS + 1 rows
     out = Vectors(np.zeros((SLOTS, CONTEXT_DIM), np.float32), np.zeros(SLOTS, np.int64), 0)
     for slot, df, v in p.itertuples(index=False):
@@ -248,7 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, vectors: Vectors, id_col: str = "d
                 ["id", "quality", "toxic", "slots", "weights"],
             ).filter(pa.array([len(g) > 0 for g, _ in got], pa.bool_()))
 
-    p = rows.mapInArrow(run, "id string, quality int, toxic int, slots binary, weights binary").toPandas()
+    p = C.map_arrow(rows, run, "id string, quality int, toxic int, slots binary, weights binary").toPandas()
     if p.empty:
         return None
     p = p.sort_values(["id", "slots", "weights"]).drop_duplicates("id").sample(frac=1, random_state=1)
@@ -273,7 +273,7 @@ def score(docs: DataFrame, vectors: Vectors, net: Network | None, id_col: str =
                 keep = ok & (p[:, 0] >= min_quality) & ~(p[:, 1] > max_toxic)
                 yield pa.RecordBatch.from_arrays([C.column(b, "doc_id"), pa.array(p[:, 0], from_pandas=True), pa.array(p[:, 1], from_pandas=True), pa.array(keep)], ["doc_id", "p_quality", "p_toxic", "keep"])
 
-    return slim.mapInArrow(run, f"doc_id {dict(slim.dtypes)['doc_id']}, p_quality double, p_toxic double, keep boolean")
+    return C.map_arrow(slim, run, f"doc_id {dict(slim.dtypes)['doc_id']}, p_quality double, p_toxic double, keep boolean")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

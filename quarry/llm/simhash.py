@@ -91,7 +91,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([C.column(b, "doc_id"), C.column(b, "text_hash"), fp], ["doc_id", "text_hash", "fp"]).filter(pc.is_valid(fp))
 
     kind = dict(slim.dtypes)["doc_id"]
-    return slim.mapInArrow(run, f"doc_id {kind}, text_hash bigint, fp binary")
+    return C.map_arrow(slim, run, f"doc_id {kind}, text_hash bigint, fp binary")
 
 
 def table_segments(tables: int, per_table: int, seed: int = 20250101) -> np.ndarray:
@@ -122,7 +122,7 @@ def _cells(nodes: DataFrame, tables: int, per_table: int) -> DataFrame:
                 take = pa.array(np.tile(np.arange(b.num_rows), len(picks)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), C.column(b, "node").take(take), C.column(b, "fp").take(take)], ["cell", "node", "fp"])
 
-    return nodes.select("node", "fp").mapInArrow(run, "cell bigint, node bigint, fp binary")
+    return C.map_arrow(nodes.select("node", "fp"), run, "cell bigint, node bigint, fp binary")
 
 
 def _matrix(arr: pa.Array) -> np.ndarray:
@@ -205,7 +205,7 @@ def _edges(cells: DataFrame, limit: int) -> DataFrame:
         if held:
             yield emit(*map(np.concatenate, zip(*held)))
 
-    return ordered.mapInArrow(run, "u bigint, v bigint").distinct()
+    return C.map_arrow(ordered, run, "u bigint, v bigint").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -69,7 +69,7 @@ def _ids(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([C.column(b, "doc_id"), packed, wide], ["doc_id", "ids", "wide"])
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, f"doc_id {dict(slim.dtypes)['doc_id']}, ids binary, wide boolean")
+    return C.map_arrow(slim, run, f"doc_id {dict(slim.dtypes)['doc_id']}, ids binary, wide boolean")
 
 
 def _arrays(b: pa.RecordBatch) -> list[np.ndarray | None]:
@@ -90,7 +90,7 @@ def id_counts(ids: DataFrame) -> DataFrame:
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(total[k])], ["id", "n"])
 
-    return ids.select("ids", "wide").mapInArrow(run, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return C.map_arrow(ids.select("ids", "wide"), run, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def code_lengths(counts: np.ndarray, max_bits: int) -> np.ndarray:
@@ -214,7 +214,7 @@ def encode_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     ["doc_id", "n_tokens", "n_bits", "bits", "checkpoints"],
                 )
 
-    return ids.mapInArrow(run, f"doc_id {dict(ids.dtypes)['doc_id']}, n_tokens bigint, n_bits bigint, bits binary, checkpoints array<bigint>"), book
+    return C.map_arrow(ids, run, f"doc_id {dict(ids.dtypes)['doc_id']}, n_tokens bigint, n_bits bigint, bits binary, checkpoints array<bigint>"), book
 
 
 def decode_tokens(encoded: DataFrame, book: Codebook, block: int = BLOCK) -> DataFrame:
@@ -229,4 +229,4 @@ def decode_tokens(encoded: DataFrame, book: Codebook, block: int = BLOCK) -> Dat
                 got = dict(zip(live, book.decode([s[i] for i in live], [n[i] for i in live], [c[i] for i in live], block)))
                 yield pa.RecordBatch.from_arrays([C.column(b, "doc_id"), pa.array([got.get(i) for i in range(len(s))], pa.list_(pa.int64()))], ["doc_id", "ids"])
 
-    return encoded.mapInArrow(run, f"doc_id {dict(encoded.dtypes)['doc_id']}, ids array<bigint>")
+    return C.map_arrow(encoded, run, f"doc_id {dict(encoded.dtypes)['doc_id']}, ids array<bigint>")
