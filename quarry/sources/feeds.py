@@ -32,7 +32,7 @@ def _label(label: Column, otherwise: Column) -> Column:
 
 
 def _urls(c: Column) -> Column:
-    return F.filter(F.transform(F.coalesce(c, F.array().cast("array<struct<url:string>>")), lambda r: _text(r["url"])), lambda u: u != "")
+    return F.coalesce(F.filter(F.transform(c, lambda r: _text(r["url"])), lambda u: u != ""), F.array().cast("array<string>"))
 
 
 def _fixed(affected: Column) -> Column:
