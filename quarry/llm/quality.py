@@ -42,7 +42,7 @@ NONZERO = 8
 WINDOW = 2
 HIDDEN = 32
 MAX_TRAIN = 6000
-EPOCHS = 20
+EPOCHS = 60
 BATCH = 256
 RARE = 5e-3
 
