@@ -7,8 +7,14 @@ one-versus-rest kernel ridge regression is fitted on them. Landmark inverse
 root and weights fold into one matrix, so scoring a batch is two matrix
 products: presence by landmarks, landmarks by languages.
 
+A text is scored in windows of equal size, at most ``WINDOW`` bytes, over its
+whole length. Scores and n-grams in common with each landmark are added up over
+the windows, so neither depends on the length of the text. Landmarks come from
+one window of at most ``TRAIN_BYTES`` of each training text: that of a longer
+text would hold n-grams of any language.
+
 A text is rejected when it holds no letter, or when no landmark holds at least
-``min_coverage`` of its n-grams: no language's texts resemble it.
+``min_coverage`` of its windows' n-grams: no language's texts resemble it.
 
 Cases
 -----
@@ -19,7 +25,8 @@ Cases
 * Without any training row, ``language`` is null and no text with letters is
   rejected. With a single label, every text with letters gets it.
 * Equal scores go to the alphabetically first language. Repeated rows are
-  scored each. Texts of any length are read whole.
+  scored each. Texts of any length are scored whole; of a training text longer
+  than ``TRAIN_BYTES``, the window in the middle is learnt.
 """
 
 from __future__ import annotations
@@ -41,6 +48,8 @@ PER_LANGUAGE = 300
 LANDMARKS = 192
 RIDGE = 1e-2
 MIN_COVERAGE = 0.4
+WINDOW = 1 << 12
+TRAIN_BYTES = 1 << 13
 _ROWS = 128
 
 
@@ -75,6 +84,24 @@ def _has_letter(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return total[offs[1:]] > total[offs[:-1]]
 
 
+def windows(offs: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of the windows of each text, of nearly equal size within a text, and the row of each window."""
+    sizes = np.diff(offs)
+    n = np.maximum(-(-sizes // size), 1)
+    row = np.repeat(np.arange(len(sizes)), n)
+    k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    return np.append(offs[row] + sizes[row] * k // n[row], offs[-1]), row
+
+
+def _middle(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts cut to their window in the middle; those within ``TRAIN_BYTES`` stay whole."""
+    w, row = windows(offs, TRAIN_BYTES)
+    first = np.searchsorted(row, np.arange(len(offs) - 1))
+    k = first + np.bincount(row, minlength=len(offs) - 1) // 2
+    parts = [buf[a:b] for a, b in zip(w[k], w[k + 1])]
+    return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+
+
 def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Normalised presence kernel of two 0/1 matrices."""
     nx, ny = (np.sqrt(np.maximum(m.sum(axis=1, dtype=np.int64), 1)).astype(np.float32) for m in (x, y))
@@ -88,15 +115,23 @@ class Model:
     weights: np.ndarray  # (m, languages)
     bias: np.ndarray
 
-    def scores(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scores by language, and the largest share of the n-grams that one landmark holds."""
+    def scores(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the texts by language, and the largest share of their windows' n-grams that one landmark holds."""
         if not hasattr(self, "_columns"):
             y = np.unpackbits(self.landmarks, axis=1)
             self._norm = np.sqrt(np.maximum(y.sum(axis=1, dtype=np.int64), 1)).astype(np.float32)
             self._columns = np.ascontiguousarray(y.T.astype(np.float32))
-        size = np.maximum(x.sum(axis=1, dtype=np.int64), 1).astype(np.float32)[:, None]
-        common = x.astype(np.float32) @ self._columns
-        return (common / np.sqrt(size) / self._norm) @ self.weights + self.bias, (common / size).max(axis=1)
+        rows, (w, row) = len(offs) - 1, windows(offs)
+        score, held, total = np.zeros((rows, len(self.languages))), np.zeros((rows, len(self._norm))), np.zeros((rows, 1))
+        for a in range(0, len(row), _ROWS):
+            at, r = w[a : a + _ROWS + 1], row[a : a + _ROWS]
+            x = presence(buf[at[0] : at[-1]], at - at[0])
+            size = np.maximum(x.sum(axis=1, dtype=np.int64), 1).astype(np.float32)[:, None]
+            common = x.astype(np.float32) @ self._columns
+            np.add.at(score, r, size * ((common / np.sqrt(size) / self._norm) @ self.weights + self.bias))
+            np.add.at(held, r, common)
+            np.add.at(total, r, size)
+        return score / total, (held / total).max(axis=1)
 
 
 def fit(x: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
@@ -128,6 +163,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, buf, offs in _chunks(C.column(b, "text")):
+                buf, offs = _middle(buf, offs)
                 part = b.slice(first, len(offs) - 1)
                 bits = pa.array([r.tobytes() for r in np.packbits(presence(buf, offs), axis=1)], pa.binary())
                 yield pa.RecordBatch.from_arrays([C.column(part, "label"), C.column(part, "id").cast(pa.string()), pa.array(_has_letter(buf, offs)), bits], ["label", "id", "ok", "bits"])
@@ -152,7 +188,7 @@ def predict(arr: pa.Array, model: Model | None, min_coverage: float = MIN_COVERA
             continue
         if not len(k):
             continue
-        s, c = model.scores(presence(buf, offs)[k])
+        s, c = (x[k] for x in model.scores(buf, offs))
         best = s.argmax(axis=1)
         top = np.sort(s, axis=1)
         for j, b in zip(first + k, best):

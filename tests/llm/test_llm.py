@@ -63,6 +63,31 @@ def test_language_accuracy_on_held_out_rows(spark, odd, none):
     assert langid.keep_identified(odd, None).columns == odd.columns
 
 
+def test_language_rejection_does_not_depend_on_length(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(d)
+    rng = np.random.default_rng(5)
+    rows = []
+    for lang in model.languages:
+        known = [t for (t,) in d.where(F.col("lang") == lang).select("text").collect() if t]
+        for k, size in enumerate((1_000_000, 5_000_000)):
+            got, n = [], 0
+            while n < size:
+                t = known[rng.integers(len(known))]
+                got.append(t)
+                n += len(t)
+            rows.append((k, " ".join(got), lang, "s", 0))
+    noise = ["".join(chr(c) for c in rng.integers(0x3B1, 0x3CA, n)) for n in rng.integers(3, 9, 400)]
+    strange = ["".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), n)) for n in rng.integers(3, 9, 400)]
+    unseen = [" ".join(rng.choice(w, n)) for w in (noise, strange) for n in (100, 1000, 200_000)]
+    rows += [(9, t, "none", "s", 0) for t in unseen]
+    arr = __import__("pyarrow").array([r[1] for r in rows])
+    for m in (model, langid.train(docs(spark, [*rows[:8], *((20 + i, r.text, r.lang, "s", 0) for i, r in enumerate(d.where("doc_id < 60").collect()))]))):
+        language, _, _, _, ok = langid.predict(arr, m)
+        assert list(ok) == [r[2] != "none" for r in rows]
+        assert all(a == r[2] for a, r in zip(language, rows) if r[2] != "none")
+
+
 def _distance(item, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(item, 1):
