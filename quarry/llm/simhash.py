@@ -4,10 +4,12 @@ Each text becomes a 256-bit SimHash of its lower-cased words, weighted by one
 plus the log of their count. A fingerprint is embedded as the bit counts of its
 128 two-bit segments. The Manhattan distance of two such vectors never exceeds
 the Hamming distance of the fingerprints, so near fingerprints lie near each
-other in this space. The range join runs on a grid with unit cells: every table
-projects the vectors on a random set of segments, and fingerprints in the same
-cell of any table are candidates. A candidate pair has to pass the Manhattan
-bound over the 64-bit words and then the exact Hamming test. Within a cell only
+other in this space. The range join is approximate, by locality-sensitive hashing: every
+table projects the vectors on a random set of segments, and fingerprints with
+equal counts in all of them, in any table, are candidates. The number of tables
+gives a pair at the limit of ``MAX_HAMMING`` bits a chance above 0.9 of being
+one, and nearer pairs more. A candidate pair has to pass the Manhattan bound
+over the 64-bit words and then the exact Hamming test. Within a cell only
 a spanning forest of the confirmed pairs is emitted, so thousands of copies
 give thousands of edges, not millions. Groups are the connected components.
 
@@ -37,8 +39,8 @@ from quarry.llm import common as C
 BITS = 256
 MAX_HAMMING = 40
 SEGMENT_BITS = 2
-SEGMENTS_PER_TABLE = 12
-TABLES = 30
+SEGMENTS_PER_TABLE = 11
+TABLES = 100
 _SEEDS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -115,14 +117,14 @@ def _cells(nodes: DataFrame, tables: int, per_table: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 2000):
-                b = batch.slice(a, 2000)
+            for a in range(0, batch.num_rows, 500):
+                b = batch.slice(a, 500)
                 v = embed(_matrix(C.column(b, "fp")))
                 ids = np.concatenate([np.uint64(t) * cells + v[:, p].astype(np.uint64) @ radix for t, p in enumerate(picks)])
                 take = pa.array(np.tile(np.arange(b.num_rows), len(picks)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), C.column(b, "node").take(take), C.column(b, "fp").take(take)], ["cell", "node", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), C.column(b, "fp").take(take)], ["cell", "fp"])
 
-    return C.map_arrow(nodes.select("node", "fp"), run, "cell bigint, node bigint, fp binary")
+    return C.map_arrow(nodes.select("fp"), run, "cell bigint, fp binary")
 
 
 def _matrix(arr: pa.Array) -> np.ndarray:
@@ -182,30 +184,30 @@ def forest(cell: np.ndarray, fp: np.ndarray, limit: int, small: int = 48) -> tup
 
 
 def _edges(cells: DataFrame, limit: int) -> DataFrame:
+    """(u, v), node numbers of near fingerprints; they are hashed here, as the cells carry fingerprints only."""
     ordered = cells.repartition("cell").sortWithinPartitions("cell")
 
-    def emit(cell, node, fp):
+    def emit(cell, fp):
         u, v = forest(cell, fp, limit)
-        a, b = node[u], node[v]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(BITS // 8), len(k), [None, pa.py_buffer(fp[k].tobytes())]).cast(pa.binary()) for k in (u, v)], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for b in batches:
             if not b.num_rows:
                 continue
-            cell, node, fp = C.column(b, "cell").to_numpy(), C.column(b, "node").to_numpy(), _matrix(C.column(b, "fp"))
+            cell, fp = C.column(b, "cell").to_numpy(), _matrix(C.column(b, "fp"))
             end = int(np.searchsorted(cell, cell[-1]))  # the last run may go on in the next batch
             if end:
-                held.append((cell[:end], node[:end], fp[:end]))
+                held.append((cell[:end], fp[:end]))
                 yield emit(*map(np.concatenate, zip(*held)))
                 held = []
-            held.append((cell[end:], node[end:], fp[end:]))
+            held.append((cell[end:], fp[end:]))
         if held:
             yield emit(*map(np.concatenate, zip(*held)))
 
-    return C.map_arrow(ordered, run, "u bigint, v bigint").distinct()
+    pairs = C.map_arrow(ordered, run, "u binary, v binary").select(F.xxhash64("u").alias("u"), F.xxhash64("v").alias("v"))
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -215,6 +215,18 @@ def test_embedding_distance_is_a_lower_bound():
     assert (l1 <= np.bitwise_count(a ^ b).sum(axis=1, dtype=int)).all()
 
 
+def test_simhash_candidates_at_the_limit():
+    rng, n = np.random.default_rng(11), 4000
+    x = rng.integers(0, 256, (n, simhash.BITS // 8), dtype=np.uint8)
+    flips = np.zeros((n, simhash.BITS), np.uint8)
+    np.put_along_axis(flips, rng.random((n, simhash.BITS)).argsort(axis=1)[:, : simhash.MAX_HAMMING], 1, axis=1)
+    moved = simhash.embed(x) != simhash.embed(x ^ np.packbits(flips, axis=1))
+    found = np.zeros(n, bool)
+    for p in simhash.table_segments(simhash.TABLES, simhash.SEGMENTS_PER_TABLE):
+        found |= ~moved[:, p].any(axis=1)
+    assert found.mean() >= 0.9
+
+
 def test_packing(spark, odd, none):
     p = packing.pack(odd, group_tokens=8000).toPandas()
     tokens = sum(len(token_output.tokenize(r.text)) for r in odd.collect() if r.text)
