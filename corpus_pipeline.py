@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm import common as C
 from quarry.llm import decontam, langid, linededup, packing, simhash
 
 #: DuckDB can't express kernel scoring, SimHash groups, edit matching or greedy packing.
@@ -27,9 +28,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go from their site's documents; a document that had text and lost all of it goes too."""
-    clean = linededup.drop_boilerplate(docs, F.col("source"), n_dropped="__dropped")
-    clean = clean.where("NOT (__dropped > 0 AND trim(text) = '')")
+    """Boilerplate lines go from their site's documents; no document goes.
+
+    Near copies count as one page, or the lines of a group of copies would be
+    boilerplate and the group lost before :func:`near_dedup` can keep one of
+    it. A document of which nothing would be left keeps its text.
+    """
+    copies = C.cut(simhash.duplicates(docs).groupBy("text_hash").agg(F.min(F.xxhash64("keep_id", "keep_hash")).alias("group")))
+    texts = docs.select("source", "text", F.expr(C.hash64("text")).alias("text_hash"))
+    pages = texts.join(C.broadcast_if_small(copies), "text_hash", "left").withColumn("page", F.coalesce("group", "text_hash"))
+    bad = linededup.boilerplate(pages, F.col("source"), F.col("text"), page=F.col("page"))
+    clean = linededup.drop_boilerplate(docs, F.col("source"), n_dropped="__dropped", bad=bad, keep_emptied=True)
     return clean.withColumn("n_chars", F.when(F.col("__dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).drop("__dropped")
 
 

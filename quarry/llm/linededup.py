@@ -32,19 +32,24 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def boilerplate(docs: DataFrame, host: Column, text: Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, lines): for every host that has any, the hashes of its boilerplate lines."""
-    pages = docs.select(host.alias("host"), text.alias("text")).where("host IS NOT NULL AND text IS NOT NULL")
-    total = pages.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+def boilerplate(docs: DataFrame, host: Column, text: Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, page: Column | None = None) -> DataFrame:
+    """(host, lines): for every host that has any, the hashes of its boilerplate lines. Rows of equal ``page`` count as one page."""
+    n = F.count("*") if page is None else F.countDistinct("page")
+    pages = docs.select(host.alias("host"), text.alias("text"), (F.lit(None) if page is None else page).alias("page")).where("host IS NOT NULL AND text IS NOT NULL")
+    total = pages.groupBy("host").agg(n.alias("pages")).where(F.col("pages") >= min_pages)
     hashes = F.array_distinct(F.transform(F.filter(F.transform(_lines(F.col("text")), F.trim), lambda x: x != ""), lambda x: F.xxhash64(x)))
-    seen = pages.select("host", F.explode(hashes).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    seen = pages.select("host", "page", F.explode(hashes).alias("line")).groupBy("host", "line").agg(n.alias("n")).where(F.col("n") >= min_pages)
     # a host makes one row of the totals: no more than its lines, so the join is on the small sides of both aggregates
     return seen.join(total, "host").where(F.col("n") > max_ratio * F.col("pages")).groupBy("host").agg(F.collect_set("line").alias("lines"))
 
 
-def drop_boilerplate(docs: DataFrame, host: Column, text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, n_lines: str | None = None, n_dropped: str | None = None) -> DataFrame:
-    """``docs`` with the text cleaned, and the numbers of lines before and dropped where named."""
-    bad = C.cut(boilerplate(docs, host, F.col(text_col), max_ratio, min_pages))
+def drop_boilerplate(docs: DataFrame, host: Column, text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, n_lines: str | None = None, n_dropped: str | None = None, bad: DataFrame | None = None, keep_emptied: bool = False) -> DataFrame:
+    """``docs`` with the text cleaned, and the numbers of lines before and dropped where named.
+
+    ``bad`` is what :func:`boilerplate` gives, if already known. With
+    ``keep_emptied``, a text that would lose all but blanks keeps every line.
+    """
+    bad = C.cut(boilerplate(docs, host, F.col(text_col), max_ratio, min_pages) if bad is None else bad)
     hashes = bad.agg(F.sum(F.size("lines"))).first()[0] or 0
     lines, site = C.fresh(docs, "lines"), C.fresh(docs, "site")
     bad = bad.select(F.col("host").alias(site), F.col("lines").alias(lines))
@@ -54,6 +59,8 @@ def drop_boilerplate(docs: DataFrame, host: Column, text_col: str = "text", max_
     kept = F.when(F.col(lines).isNull(), parts).otherwise(F.filter(parts, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(lines), F.xxhash64(F.trim(x)))))
     clean = C.fresh(docs, "clean")
     out = docs.join(side, on, "left").withColumn(clean, kept)
+    if keep_emptied:
+        out = out.withColumn(clean, F.when(F.exists(clean, lambda x: F.trim(x) != ""), F.col(clean)).otherwise(parts))
     columns = [F.array_join(clean, "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     before = F.coalesce(F.size(parts), F.lit(0)) if (n_lines or n_dropped) else None
     if n_lines:

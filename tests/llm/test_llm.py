@@ -279,6 +279,22 @@ def test_line_dedup_sql(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def test_pipeline_keeps_one_of_a_group_of_copies(spark):
+    rng = np.random.default_rng(3)
+    text = lambda n: "\n".join(" ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(12)) for _ in range(n))
+    exact, near = text(12), text(12)
+    rows = [(i, f"MENU HOME\n{text(4)}", "en", "h", 0) for i in range(60)]
+    rows += [(100 + i, exact, "en", "h", 0) for i in range(12)]
+    rows += [(200 + i, near.replace(near.split("\n")[i].split(" ")[0], f"edited{i}", 1), "en", "h", 0) for i in range(12)]
+    d = docs(spark, rows)
+    clean = corpus_pipeline.line_dedup(spark, d, SF)
+    got = {r.doc_id: r.text for r in clean.collect()}
+    assert len(got) == len(rows) and not any("MENU" in got[i] for i in range(60))
+    assert all(got[r[0]] == r[1] for r in rows[60:])
+    left = [r.doc_id for r in corpus_pipeline.near_dedup(spark, clean, SF).select("doc_id").collect()]
+    assert sum(100 <= i < 200 for i in left) == 1 and sum(i >= 200 for i in left) == 1 and len(left) == 62
+
+
 def test_pipeline(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "decontamination", "packing"]
