@@ -13,7 +13,11 @@ Cases
 * Null, empty and tokenless texts have no tokens and are in no sequence.
 * Pieces of equal cost are placed in order of (id, piece), null ids first;
   sequences of equal cost are taken in order of number.
-* Repeated rows are packed each. An empty table gives an empty result.
+* Repeated rows are packed each; their copies are dealt out evenly to the
+  groups, so that no group outgrows ``group_tokens`` by them. An empty table
+  gives an empty result.
+* Ids of any sortable type come out as they went in, whatever nulls are beside
+  them: they are never converted.
 * Very long documents are cut, never shortened. Other columns are ignored.
 """
 
@@ -22,8 +26,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,23 +74,42 @@ def place(sizes: np.ndarray, capacity: int, linear: float = LINEAR, quadratic: f
     return out
 
 
+def _expand(t: pa.Table) -> pa.Table:
+    """One row per copy, in packing order; ids stay the Arrow values they are."""
+    t = t.take(pa.array(np.repeat(np.arange(t.num_rows), t["copies"].to_numpy()))).drop_columns("copies")
+    keys = [("n_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("text_hash", "ascending")]
+    return t.take(pc.sort_indices(t, sort_keys=keys, null_placement="at_start"))
+
+
 def pack_lengths(lengths: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS, linear: float = LINEAR, quadratic: float = QUADRATIC) -> DataFrame:
     """Pack (doc_id, text_hash, n_tokens) rows; see :func:`pack`."""
     total = lengths.agg(F.sum("n_tokens")).first()[0] or 0
     groups = max(1, -(-total // group_tokens))
+    # equal rows are counted before anything is shuffled by group, and their copies dealt out to the groups in turn
+    rows = lengths.where("n_tokens > 0").groupBy("doc_id", "text_hash", "n_tokens").agg(F.count("*").alias("c"))
     count = F.ceil(F.col("n_tokens") / capacity).cast("int")
-    pieces = lengths.where("n_tokens > 0").select("doc_id", "text_hash", "n_tokens", F.explode(F.sequence(F.lit(0), count - 1)).alias("piece"))
+    pieces = rows.select("doc_id", "text_hash", "n_tokens", "c", F.explode(F.sequence(F.lit(0), count - 1)).alias("piece"))
     first = F.col("piece").cast("bigint") * capacity
-    pieces = pieces.select("doc_id", "text_hash", "piece", first.alias("first_token"), F.least(F.lit(capacity), F.col("n_tokens") - first).alias("n_tokens"), F.pmod(F.xxhash64("doc_id", "text_hash", "piece"), F.lit(groups)).alias("group_id"))
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["n_tokens", "doc_id", "piece", "text_hash"], ascending=[False, True, True, True], na_position="first", kind="stable").reset_index(drop=True)
-        p["sequence_id"] = place(p["n_tokens"].to_numpy(), capacity, linear, quadratic)
-        p["cost"] = linear * p["n_tokens"] + quadratic * p["n_tokens"].astype(float) ** 2
-        p["sequence_offset"] = p.groupby("sequence_id")["n_tokens"].cumsum() - p["n_tokens"]
-        return p[["doc_id", "piece", "first_token", "n_tokens", "group_id", "sequence_id", "sequence_offset", "cost"]]
-
-    return pieces.groupBy("group_id").applyInPandas(run, f"doc_id {dict(lengths.dtypes)['doc_id']}, piece int, first_token bigint, n_tokens bigint, group_id bigint, sequence_id bigint, sequence_offset bigint, cost double")
+    pieces = pieces.select("doc_id", "text_hash", "piece", first.alias("first_token"), F.least(F.lit(capacity), F.col("n_tokens") - first).alias("n_tokens"), "c", F.pmod(F.xxhash64("doc_id", "text_hash", "piece"), F.lit(groups)).alias("home"))
+    turn = F.explode(F.sequence(F.lit(0).cast("bigint"), F.least("c", F.lit(groups)) - 1)).alias("turn")
+    pieces = pieces.select("doc_id", "text_hash", "piece", "first_token", "n_tokens", "c", "home", turn)
+    share = F.floor((F.col("c") - 1 - F.col("turn")) / groups) + 1
+    pieces = pieces.select("doc_id", "text_hash", "piece", "first_token", "n_tokens", share.cast("bigint").alias("copies"), F.pmod(F.col("home") + F.col("turn"), F.lit(groups)).alias("group_id"))
+    kind = dict(lengths.dtypes)["doc_id"]
+
+    def run(t: pa.Table) -> pa.Table:
+        t = _expand(t)
+        n = t["n_tokens"].to_numpy()
+        seq = place(n, capacity, linear, quadratic)
+        by = np.argsort(seq, kind="stable")
+        before = np.cumsum(n[by]) - n[by]
+        start = np.flatnonzero(np.diff(seq[by], prepend=-1))
+        offset = np.empty(len(n), np.int64)
+        offset[by] = before - np.repeat(before[start], np.diff(np.append(start, len(n))))
+        cost = linear * n + quadratic * n.astype(float) ** 2
+        return t.select(["doc_id", "piece", "first_token", "n_tokens", "group_id"]).append_column("sequence_id", pa.array(seq)).append_column("sequence_offset", pa.array(offset)).append_column("cost", pa.array(cost))
+
+    return pieces.groupBy("group_id").applyInArrow(run, f"doc_id {kind}, piece int, first_token bigint, n_tokens bigint, group_id bigint, sequence_id bigint, sequence_offset bigint, cost double")
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = token_output.VOCABULARY, **options) -> DataFrame:
