@@ -1,10 +1,10 @@
 """Boilerplate lines by their frequency within a site.
 
-Rows are grouped by host. A line counts once per page; its share is the number
-of pages of the host that hold it over the number of pages of the host. Lines
-on at least ``min_pages`` pages whose share exceeds ``max_ratio`` are dropped
-wherever they stand on that host. Lines are compared without blanks at their
-ends, through a 64-bit hash, and counted over all pages.
+Rows are grouped by host. A line's share is the number of the host's distinct
+pages that hold it over the number of the host's distinct pages; lines on more
+than one page whose share exceeds ``max_ratio`` are dropped wherever they stand
+on that host. Lines are compared without blanks at their ends, through a 64-bit
+hash, and counted over all pages.
 
 Cases
 -----
@@ -12,9 +12,14 @@ Cases
   keep all lines.
 * Blank lines are never counted nor dropped. A page of which every line goes
   has the empty text.
-* Hosts with fewer than ``min_pages`` pages lose nothing.
-* Repeated rows are pages of their own. A line repeated on one page counts
-  once and is dropped everywhere on it. An empty table stays empty.
+* The ratio holds at every size of a host; a line on a single page repeats
+  nothing and stays, so a host of one page loses nothing. A share equal to
+  ``max_ratio`` doesn't exceed it.
+* Repeated rows and copies of one text are one page of their host, or their
+  lines would pass for boilerplate. A line repeated on one page counts once
+  and is dropped everywhere on it. An empty table stays empty.
+* Texts of any length are counted and cleaned whole. Other columns are carried
+  untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,40 +30,52 @@ from pyspark.sql import functions as F
 from quarry.llm import common as C
 
 MAX_RATIO = 0.05
-MIN_PAGES = 8
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def boilerplate(docs: DataFrame, host: Column, text: Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, page: Column | None = None) -> DataFrame:
-    """(host, lines): for every host that has any, the hashes of its boilerplate lines. Rows of equal ``page`` count as one page."""
-    n = F.count("*") if page is None else F.countDistinct("page")
-    pages = docs.select(host.alias("host"), text.alias("text"), (F.lit(None) if page is None else page).alias("page")).where("host IS NOT NULL AND text IS NOT NULL")
-    total = pages.groupBy("host").agg(n.alias("pages")).where(F.col("pages") >= min_pages)
-    hashes = F.array_distinct(F.transform(F.filter(F.transform(_lines(F.col("text")), F.trim), lambda x: x != ""), lambda x: F.xxhash64(x)))
-    seen = pages.select("host", "page", F.explode(hashes).alias("line")).groupBy("host", "line").agg(n.alias("n")).where(F.col("n") >= min_pages)
-    # a host makes one row of the totals: no more than its lines, so the join is on the small sides of both aggregates
-    return seen.join(total, "host").where(F.col("n") > max_ratio * F.col("pages")).groupBy("host").agg(F.collect_set("line").alias("lines"))
+def _hashes(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.filter(F.transform(_lines(text), F.trim), lambda x: x != ""), lambda x: F.xxhash64(x)))
 
 
-def drop_boilerplate(docs: DataFrame, host: Column, text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, n_lines: str | None = None, n_dropped: str | None = None, bad: DataFrame | None = None, keep_emptied: bool = False) -> DataFrame:
+def _pages(docs: DataFrame, host: Column, text: Column, page: Column | None) -> DataFrame:
+    page = F.xxhash64(text) if page is None else page
+    return docs.select(host.alias("host"), text.alias("text"), page.alias("page")).where("host IS NOT NULL AND text IS NOT NULL")
+
+
+def boilerplate(docs: DataFrame, host: Column, text: Column, max_ratio: float = MAX_RATIO, page: Column | None = None) -> DataFrame:
+    """(host, line): the hashes of every host's boilerplate lines. Rows of equal ``page`` count as one, by default those of equal text."""
+    pages = _pages(docs, host, text, page)
+    total = pages.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    seen = pages.select("host", "page", F.explode(_hashes(F.col("text"))).alias("line")).distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where("n > 1")
+    # a host makes one row of the totals, so the join is on the small sides of both aggregates
+    return seen.join(total, "host").where(F.col("n") > max_ratio * F.col("pages")).select("host", "line")
+
+
+def drop_boilerplate(docs: DataFrame, host: Column, text_col: str = "text", max_ratio: float = MAX_RATIO, n_lines: str | None = None, n_dropped: str | None = None, bad: DataFrame | None = None, keep_emptied: bool = False, broadcast_rows: int = C.BROADCAST_ROWS) -> DataFrame:
     """``docs`` with the text cleaned, and the numbers of lines before and dropped where named.
 
     ``bad`` is what :func:`boilerplate` gives, if already known. With
     ``keep_emptied``, a text that would lose all but blanks keeps every line.
+    Up to ``broadcast_rows`` boilerplate lines are broadcast by host. Beyond, they are
+    joined to the pages' line hashes, and the texts with the lines that they
+    lose by (host, page), so that no host gathers its texts in one task.
     """
-    bad = C.cut(boilerplate(docs, host, F.col(text_col), max_ratio, min_pages) if bad is None else bad)
-    hashes = bad.agg(F.sum(F.size("lines"))).first()[0] or 0
-    lines, site = C.fresh(docs, "lines"), C.fresh(docs, "site")
-    bad = bad.select(F.col("host").alias(site), F.col("lines").alias(lines))
-    side = F.broadcast(bad) if hashes <= C.BROADCAST_ROWS else bad
-    on = host == F.col(site)
+    bad = C.cut(boilerplate(docs, host, F.col(text_col), max_ratio) if bad is None else bad)
+    lines, site, page = C.fresh(docs, "lines"), C.fresh(docs, "site"), C.fresh(docs, "page")
     parts = _lines(F.col(text_col))
+    if bad.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        side = bad.groupBy("host").agg(F.collect_set("line").alias(lines)).select(F.col("host").alias(site), lines)
+        out = docs.join(F.broadcast(side), host == F.col(site), "left")
+    else:
+        held = _pages(docs, host, F.col(text_col), None).select("host", "page", F.explode(_hashes(F.col("text"))).alias("line")).distinct()
+        side = held.join(bad, ["host", "line"]).groupBy("host", "page").agg(F.collect_set("line").alias(lines)).select(F.col("host").alias(site), F.col("page").alias(page), lines)
+        out = docs.join(side, (host == F.col(site)) & (F.xxhash64(F.col(text_col)) == F.col(page)), "left")
     kept = F.when(F.col(lines).isNull(), parts).otherwise(F.filter(parts, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(lines), F.xxhash64(F.trim(x)))))
     clean = C.fresh(docs, "clean")
-    out = docs.join(side, on, "left").withColumn(clean, kept)
+    out = out.withColumn(clean, kept)
     if keep_emptied:
         out = out.withColumn(clean, F.when(F.exists(clean, lambda x: F.trim(x) != ""), F.col(clean)).otherwise(parts))
     columns = [F.array_join(clean, "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
@@ -72,11 +89,11 @@ def drop_boilerplate(docs: DataFrame, host: Column, text_col: str = "text", max_
 
 ORACLE = """
 WITH pages AS (SELECT source, text FROM documents WHERE source IS NOT NULL AND text IS NOT NULL),
-total AS (SELECT source, count(*) AS pages FROM pages GROUP BY source HAVING count(*) >= {min_pages}),
+total AS (SELECT source, count(*) AS pages FROM (SELECT DISTINCT source, text FROM pages) GROUP BY source),
 seen AS (
   SELECT source, line, count(*) AS n
-  FROM (SELECT source, unnest(list_distinct(list_transform(string_split(text, chr(10)), lambda x: trim(x)))) AS line FROM pages)
-  WHERE line <> '' GROUP BY source, line HAVING count(*) >= {min_pages}),
+  FROM (SELECT source, unnest(list_distinct(list_transform(string_split(text, chr(10)), lambda x: trim(x)))) AS line FROM (SELECT DISTINCT source, text FROM pages))
+  WHERE line <> '' GROUP BY source, line HAVING count(*) > 1),
 bad AS (
   SELECT s.source, list(s.line) AS lines FROM seen s JOIN total t ON s.source = t.source
   WHERE s.n > {max_ratio} * t.pages GROUP BY s.source),

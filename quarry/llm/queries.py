@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": linededup.ORACLE.format(max_ratio=linededup.MAX_RATIO, min_pages=linededup.MIN_PAGES)}
+    return {"op10_line_dedup": linededup.ORACLE.format(max_ratio=linededup.MAX_RATIO)}

@@ -247,6 +247,20 @@ def test_packing(spark, odd, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_leaves_ids_alone_and_spreads_repeated_rows(spark):
+    big = [2**53 + 1, 2**53 + 3, 2**63 - 1, -(2**63)]
+    rows = [(None, 1, 10), *((x, 2, 10) for x in big), (7, 4, 0), *[(9, 9, 3)] * 1000]
+    lengths = spark.createDataFrame(rows, "doc_id bigint, text_hash bigint, n_tokens bigint")
+    one = packing.pack_lengths(lengths).collect()
+    assert sorted(str(r.doc_id) for r in one) == sorted(str(r[0]) for r in rows if r[2])
+    assert one[0].doc_id is None or min(r.sequence_id for r in one if r.doc_id is None) == 0
+    many = packing.pack_lengths(lengths, group_tokens=300).toPandas()
+    repeats = many[many.n_tokens == 3].groupby("group_id").size()
+    assert repeats.sum() == 1000 and repeats.max() - repeats.min() <= 1
+    names = packing.pack_lengths(lengths.select(F.col("doc_id").cast("string"), "text_hash", "n_tokens")).collect()
+    assert {r.doc_id for r in names} == {None if r[0] is None else str(r[0]) for r in rows if r[2]}
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(7)
     x = rng.standard_normal((300, 16))
@@ -264,9 +278,17 @@ def test_nearest_neighbours(spark):
 
 
 def test_line_dedup(spark, odd, none):
-    rows = [(i, f"own {i}\nMENU\n\n shared {i // 10} ", "en", "h", 0) for i in range(20)] + [(50, "MENU\nx", "en", "small", 0), (51, "MENU", "en", None, 0), (52, None, "en", "h", 0)]
-    got = {r.doc_id: r for r in linededup.drop_boilerplate(docs(spark, rows), F.col("source"), max_ratio=0.5, n_dropped="n").collect()}
-    assert got[3].text == "own 3\n\n shared 0 " and got[3].n == 1 and got[50].text == "MENU\nx" and got[51].text == "MENU" and got[52].text is None
+    rows = [(i, f"own {i}\nMENU\n\n shared {i // 10} ", "en", "h", 0) for i in range(20)] + [(50, "MENU\nx", "en", "single", 0), (51, "MENU", "en", None, 0), (52, None, "en", "h", 0)]
+    rows += [(60 + i, f"TOP\nbody {i}", "en", "three", 0) for i in range(3)] + [(70 + i, "all of\nthis is\nmirrored", "en", "copies", 0) for i in range(30)]
+    for side in (1000, 0):  # broadcast, and joined by page
+        got = {r.doc_id: r for r in linededup.drop_boilerplate(docs(spark, rows), F.col("source"), max_ratio=0.5, n_dropped="n", broadcast_rows=side).collect()}
+        assert len(got) == len(rows) and got[3].text == "own 3\n\n shared 0 " and got[3].n == 1  # 'shared 0' is on half of the pages: no more than the ratio
+        assert got[50].text == "MENU\nx" and got[51].text == "MENU" and got[52].text is None
+        assert [got[60 + i].text for i in range(3)] == [f"body {i}" for i in range(3)]
+        assert all(got[70 + i].text == "all of\nthis is\nmirrored" for i in range(30))
+        clash = docs(spark, rows).withColumn("__lines", F.lit(1)).withColumn("__site", F.lit(2)).withColumn("page", F.lit(3)).withColumn("host", F.lit(4)).withColumn("line", F.lit(5))
+        out = linededup.drop_boilerplate(clash, F.col("source"), max_ratio=0.5, broadcast_rows=side)
+        assert out.columns == clash.columns and {r.doc_id: r.text for r in out.collect()} == {k: r.text for k, r in got.items()}
     assert linededup.drop_boilerplate(odd, F.col("source")).columns == odd.columns
     assert linededup.drop_boilerplate(none, F.col("source")).count() == 0
 
