@@ -38,8 +38,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     texts = docs.select("source", "text", F.expr(C.hash64("text")).alias("text_hash"))
     pages = texts.join(C.broadcast_if_small(copies), "text_hash", "left").withColumn("page", F.coalesce("group", "text_hash"))
     bad = linededup.boilerplate(pages, F.col("source"), F.col("text"), page=F.col("page"))
-    clean = linededup.drop_boilerplate(docs, F.col("source"), n_dropped="__dropped", bad=bad, keep_emptied=True)
-    return clean.withColumn("n_chars", F.when(F.col("__dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).drop("__dropped")
+    lost = C.fresh(docs, "dropped")
+    clean = linededup.drop_boilerplate(docs, F.col("source"), n_dropped=lost, bad=bad, keep_emptied=True)
+    return clean.withColumn("n_chars", F.when(F.col(lost) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).drop(lost)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
