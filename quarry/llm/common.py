@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 19
 BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 96 << 20
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -63,12 +64,13 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(run, schema)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when ``df`` (already materialised) has at most ``limit`` narrow rows.
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only when ``df`` (already materialised) has at most ``rows`` rows and, written out, ``size`` bytes.
 
     A larger side is left to a shuffled join.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    n, written = df.limit(rows + 1).agg(F.count("*"), F.sum(F.length(F.to_json(F.struct(*[f"`{c}`" for c in df.columns]))))).first()
+    return F.broadcast(df) if n <= rows and (written or 0) <= size else df
 
 
 def fresh(df: DataFrame, stem: str) -> str:
