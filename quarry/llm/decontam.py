@@ -4,21 +4,31 @@ Texts and test items are normalised to lower-case words with one blank between
 them. An item of ``n`` bytes has an error budget of ``k = error_rate * n``
 edits and is split into ``k + 1`` pieces; if it occurs in a text with at most
 ``k`` edits, one of the pieces occurs there unchanged. Piece hits are found for
-all items in one pass over the bytes: a bit table over the hash of every
-8-byte window, then the piece itself. The region around a hit is verified with
-Myers' bit-parallel distance, the item against any substring of the region.
+all items in one pass over the bytes: a bit table over the hash of every window
+of 8 bytes (of as many as a shorter piece has), then the piece itself. The
+region around a hit is verified with Myers' bit-parallel distance, the item
+against any substring of the region.
 
 Cases
 -----
-* A null or empty text contains nothing. A null or empty item, or one shorter
-  than ``min_bytes`` after normalising, is never searched: it would be found
-  in clean texts.
-* Items too short for 8-byte pieces get a smaller budget, down to zero.
+* A null or empty text contains nothing. A null item, or one without a word, is
+  never searched. Items of any other length are; ``min_bytes`` leaves shorter
+  ones out, by default none.
+* An item too short to have an error budget has to stand in the text as whole
+  words, or it would be found within words of clean texts.
+* Very long texts and items are searched whole.
 * Items of equal text are reported each. Repeated rows are reported each in
   :func:`find_contamination`, and all removed by :func:`decontaminate`.
-* Rows with a null id are searched as others.
-* An empty test set removes nothing.
+* Rows with a null id are searched as others; an item with a null id is
+  reported under it.
+* An empty test set removes nothing; an empty table gives an empty result.
 * Edits are counted in UTF-8 bytes of the normalised texts.
+* Other columns are ignored by :func:`find_contamination` and carried untouched
+  by :func:`decontaminate`, whatever their names.
+
+The test set is read to the driver a pass at a time: what is broadcast holds at
+most ``ITEM_BYTES_PER_PASS`` of items (or one longer item) and about twice that
+for its pieces. A larger test set takes more passes over the corpus.
 """
 
 from __future__ import annotations
@@ -31,13 +41,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.llm import common as C
 
 ERROR_RATE = 0.08
-MIN_BYTES = 40
 WINDOW = 8
-ITEM_BYTES_PER_PASS = 32 << 20
+ITEM_BYTES_PER_PASS = 16 << 20
 _TABLE_BITS = 22
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,7 +83,8 @@ def pieces(item: bytes, k: int) -> list[tuple[int, bytes]]:
 
 
 def budget(n: int, error_rate: float) -> int:
-    return max(0, min(int(error_rate * n), n // WINDOW - 1))
+    """Edits that an item of ``n`` bytes may have; a piece keeps one byte at least."""
+    return max(0, min(int(error_rate * n), n - 1))
 
 
 def myers(item: bytes, text: bytes) -> int:
@@ -101,88 +112,112 @@ def myers(item: bytes, text: bytes) -> int:
 
 
 def _windows(buf: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each position as one number."""
-    n = len(buf) - WINDOW + 1
-    out = np.empty(max(n, 0), np.uint64)
-    for k in range(WINDOW if n > 0 else 0):
+    """The 8 bytes from each position as one number; zeros follow the end."""
+    buf = np.concatenate((buf, np.zeros(2 * WINDOW, np.uint8)))
+    out = np.empty(len(buf) - 2 * WINDOW, np.uint64)
+    for k in range(min(WINDOW, len(out))):
         part = buf[k:]
         out[k::WINDOW] = part[: len(part) // WINDOW * WINDOW].view("<u8")[: len(out[k::WINDOW])]
     return out
 
 
+class _Pieces:
+    """Pieces whose first ``width`` bytes are looked up, sorted by these."""
+
+    def __init__(self, width: int, rows: list[tuple[int, int, int, int]]):
+        key, item, off, size = (np.array(c, np.uint64 if i == 0 else np.int64) for i, c in enumerate(zip(*rows)))
+        order = np.argsort(key, kind="stable")
+        self.mask, self.item, self.off, self.size = np.uint64((1 << 8 * width) - 1), item[order].astype(np.int32), off[order].astype(np.int32), size[order].astype(np.int32)
+        self.keys, self.first = np.unique(key[order], return_index=True)
+        self.table = np.zeros(1 << _TABLE_BITS, bool)
+        self.table[(self.keys * _MULT) >> np.uint64(64 - _TABLE_BITS)] = True
+
+    def hits(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions at which a piece may begin, and the place of its window among ``keys``."""
+        w = windows if self.mask == np.uint64(2**64 - 1) else windows & self.mask
+        hit = np.flatnonzero(self.table[(w * _MULT) >> np.uint64(64 - _TABLE_BITS)])
+        slot = np.minimum(np.searchsorted(self.keys, w[hit]), len(self.keys) - 1)
+        ok = self.keys[slot] == w[hit]
+        return hit[ok], slot[ok]
+
+
 class Matcher:
     """The pieces of a set of items, ready to search."""
 
     def __init__(self, items: list[tuple[object, bytes]], error_rate: float):
-        self.items = items
-        self.budgets = [budget(len(t), error_rate) for _, t in items]
-        self.by_window: dict[int, list[tuple[bytes, int, int]]] = defaultdict(list)
-        for i, (_, t) in enumerate(items):
-            for at, piece in pieces(t, self.budgets[i]):
-                self.by_window[int.from_bytes(piece[:WINDOW], "little")].append((piece, i, at))
-        keys = np.array(list(self.by_window), np.uint64)
-        self.keys = np.sort(keys)
-        self.table = np.zeros(1 << _TABLE_BITS, bool)
-        self.table[(keys * _MULT) >> np.uint64(64 - _TABLE_BITS)] = True
+        self.ids, texts = [i for i, _ in items], [t for _, t in items]
+        self.budgets = [budget(len(t), error_rate) for t in texts]
+        self.texts = [t if k else b" " + t + b" " for t, k in zip(texts, self.budgets)]
+        by_width: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
+        for i, (t, k) in enumerate(zip(self.texts, self.budgets)):
+            for at, piece in pieces(t, k):
+                width = min(WINDOW, len(piece))
+                by_width[width].append((int.from_bytes(piece[:width], "little"), i, at, len(piece)))
+        self.parts = [_Pieces(w, rows) for w, rows in sorted(by_width.items(), reverse=True)]
 
     def search(self, arr: pa.Array) -> list[dict[int, int]]:
         """For every text the items it contains, with the least distance."""
         found: list[dict[int, int]] = [{} for _ in range(len(arr))]
-        if not len(self.keys):
+        if not self.parts:
             return found
         for first, raw, raw_offs in C.text_chunks(pc.utf8_lower(arr.cast(pa.large_string()))):
             buf, offs = normalize(raw, raw_offs)
-            w = _windows(buf)
-            hit = np.flatnonzero(self.table[(w * _MULT) >> np.uint64(64 - _TABLE_BITS)])
-            slot = np.minimum(np.searchsorted(self.keys, w[hit]), len(self.keys) - 1)
-            hit = hit[self.keys[slot] == w[hit]]
-            if not len(hit):
-                continue
-            data, rows = buf.tobytes(), np.searchsorted(offs, hit, "right") - 1
+            windows, data = _windows(buf), None
             seen: dict[tuple[int, int], int] = {}
-            for at, row in zip(hit.tolist(), rows.tolist()):
-                for piece, i, off in self.by_window[int(w[at])]:
-                    begin, k = at - off, self.budgets[i]
-                    if data[at : at + len(piece)] != piece or found[first + row].get(i) == 0 or seen.get((row, i), -1) == begin:
-                        continue
-                    seen[row, i] = begin
-                    item = self.items[i][1]
-                    lo, hi = max(int(offs[row]), begin - k), min(int(offs[row + 1]), begin + len(item) + k)
-                    d = 0 if data[max(begin, lo) : begin + len(item)] == item else myers(item, data[lo:hi])
-                    if d <= min(k, found[first + row].get(i, k)):
-                        found[first + row][i] = d
+            for part in self.parts:
+                hit, slot = part.hits(windows)
+                if not len(hit):
+                    continue
+                data = buf.tobytes() if data is None else data
+                ends = np.append(part.first, len(part.item))
+                for at, row, lo, hi in zip(hit.tolist(), (np.searchsorted(offs, hit, "right") - 1).tolist(), ends[slot].tolist(), ends[slot + 1].tolist()):
+                    for p in range(lo, hi):
+                        i, off, size = int(part.item[p]), int(part.off[p]), int(part.size[p])
+                        best, begin = found[first + row].get(i), at - off
+                        if best == 0 or seen.get((row, i)) == begin:
+                            continue
+                        if data[at : at + size] == self.texts[i][off : off + size]:
+                            seen[row, i] = begin
+                            self._verify(data, begin, i, int(offs[row]), int(offs[row + 1]), found[first + row])
         return found
 
+    def _verify(self, data: bytes, begin: int, i: int, start: int, stop: int, found: dict[int, int]) -> None:
+        """Note item ``i`` if the text from ``start`` to ``stop`` holds it about ``begin`` within its budget."""
+        item, k = self.texts[i], self.budgets[i]
+        d = 0 if begin >= start and data[begin : begin + len(item)] == item else myers(item, data[max(start, begin - k) : min(stop, begin + len(item) + k)]) if k else 1
+        if d <= min(k, found.get(i, k)):
+            found[i] = d
+
 
-def _passes(benchmark: DataFrame, id_col: str, text_col: str, error_rate: float, min_bytes: int) -> list[Matcher]:
-    """Matchers for the items, ``ITEM_BYTES_PER_PASS`` each, so that what a task holds is bounded."""
-    rows = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.col(text_col)).toLocalIterator()
-    out, held, size = [], [], 0
-    for item_id, text in rows:
+def _passes(benchmark: DataFrame, id_col: str, text_col: str, error_rate: float, min_bytes: int) -> Iterator[Matcher]:
+    """Matchers for the items, ``ITEM_BYTES_PER_PASS`` each, so that what the driver and a task hold is bounded."""
+    held, size = [], 0
+    for item_id, text in benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.col(text_col)).toLocalIterator():
         t = normalize_text(text)
-        if len(t) < max(min_bytes, WINDOW):
+        if len(t) < max(min_bytes, 1):
             continue
         if held and size + len(t) > ITEM_BYTES_PER_PASS:
-            out.append(Matcher(held, error_rate))
+            yield Matcher(held, error_rate)
             held, size = [], 0
         held.append((item_id, t))
         size += len(t)
-    return out + ([Matcher(held, error_rate)] if held else [])
+    if held:
+        yield Matcher(held, error_rate)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", error_rate: float = ERROR_RATE, min_bytes: int = MIN_BYTES) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", error_rate: float = ERROR_RATE, min_bytes: int = 0) -> DataFrame:
     """(doc_id, item_id, distance) for every item that a row contains within its budget."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"doc_id {dict(slim.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)[item_col]}, distance int"
+    kind = to_arrow_type(benchmark.schema[item_col].dataType)
     out = None
     for m in _passes(benchmark, item_col, item_text, error_rate, min_bytes):
         held = docs.sparkSession.sparkContext.broadcast(m)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             matcher = held.value
-            kind = pa.array([x for x, _ in matcher.items]).type
             for b in batches:
-                got = [(r, matcher.items[i][0], d) for r, f in enumerate(matcher.search(C.column(b, "text"))) for i, d in sorted(f.items())]
+                got = [(r, matcher.ids[i], d) for r, f in enumerate(matcher.search(C.column(b, "text"))) for i, d in sorted(f.items())]
                 rows, ids, dist = zip(*got) if got else ((), (), ())
                 yield pa.RecordBatch.from_arrays([C.column(b, "doc_id").take(pa.array(rows, pa.int64())), pa.array(ids, kind), pa.array(dist, pa.int32())], ["doc_id", "item_id", "distance"])
 
@@ -191,7 +226,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", error_rate: float = ERROR_RATE, min_bytes: int = MIN_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", error_rate: float = ERROR_RATE, min_bytes: int = 0) -> DataFrame:
     """``docs`` without the rows that contain a test item; nothing is shuffled."""
     for m in _passes(benchmark, item_col, item_text, error_rate, min_bytes):
         held = docs.sparkSession.sparkContext.broadcast(m)

@@ -101,7 +101,7 @@ def _distance(item, text):
 def test_decontamination_against_brute_force(spark, odd, none):
     rng = np.random.default_rng(1)
     words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(60)]
-    items = [(i, " ".join(rng.choice(words, 14))) for i in range(6)] + [(90, None), (91, ""), (92, "short")]
+    items = [(i, " ".join(rng.choice(words, 14))) for i in range(6)] + [(90, None), (91, ""), (92, " ?! ")]
     rows = []
     for k in range(60):
         t, body = items[k % 6][1], " ".join(rng.choice(words, 20))
@@ -124,6 +124,35 @@ def test_decontamination_against_brute_force(spark, odd, none):
     assert decontam.find_contamination(odd, bench.limit(0)).count() == 0 and decontam.decontaminate(none, bench).count() == 0
 
 
+def test_short_items_are_found(spark):
+    items = [(1, "What is the capital of France?"), (2, "Ode to a cat"), (3, "cat"), (4, "two plus three"), (None, "no id here"), (5, "a b"), (6, "cat")]
+    rows = ["so, what is the capital of france", "what is teh capital of france", "concatenate", "an Ode; to a CAT", "two plsu three", "two plus threes and no id here", "x a b", "xa b", None, ""]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    d = docs(spark, [(k, t, "en", "s", 0) for k, t in enumerate(rows)])
+    got = {(r.doc_id, r.item_id, r.distance) for r in decontam.find_contamination(d, bench).collect()}
+    want = set()
+    for k, t in enumerate(rows):
+        for i, x in items:
+            a, b = decontam.normalize_text(x), decontam.normalize_text(t)
+            n = decontam.budget(len(a), decontam.ERROR_RATE)
+            dist = _distance(a, b) if n else int(b" " + a + b" " not in b" " + b + b" ")
+            if dist <= n:
+                want.add((k, i, dist))
+    assert got == want and {(0, 1, 0), (1, 1, 2), (3, 3, 0), (3, 2, 0), (6, 5, 0), (5, None, 0)} <= got and not any(g[0] in (2, 7) for g in got)
+    loose = {(r.doc_id, r.item_id, r.distance) for r in decontam.find_contamination(d, bench, error_rate=0.2).collect()}
+    want = set()
+    for k, t in enumerate(rows):
+        for i, x in items:
+            a, b = decontam.normalize_text(x), decontam.normalize_text(t)
+            n = decontam.budget(len(a), 0.2)
+            dist = _distance(a, b) if n else int(b" " + a + b" " not in b" " + b + b" ")
+            if dist <= n:
+                want.add((k, i, dist))
+    assert loose == want and len(loose) > len(got)
+    long = "filler words " * 200_000 + "what is the capitol of france " + "more filler " * 1000
+    assert decontam.find_contamination(docs(spark, [(1, long, "en", "s", 0)]), bench).collect()[0].item_id == 1
+
+
 def test_myers_against_dynamic_programming():
     rng = np.random.default_rng(2)
     for _ in range(50):
