@@ -16,8 +16,11 @@ Cases
   the empty text.
 * Unclosed comments, scripts and styles run to the end of the page; a lone
   ``<`` is text.
-* Very long pages are read whole. Repeated rows are extracted each; other
-  columns are ignored; an empty table gives an empty result.
+* Very long pages are read whole, in time linear in their length whatever is
+  left unclosed. Repeated rows are extracted each; other columns are ignored,
+  whatever their names; an empty table gives an empty result.
+* A window that sums to exactly ``surge`` is none, one of exactly ``dive`` goes
+  on.
 """
 
 from __future__ import annotations
@@ -37,15 +40,45 @@ WIDTH = 3
 SURGE = 86
 DIVE = 30
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|head|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<![^>]*>", re.S | re.I)
-_BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|caption|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>", re.I)
-_TAG = re.compile(r"</?[a-zA-Z][^>]*>")
+_OPEN = re.compile(r"<!--|<!|<(script|style|head|noscript|template|svg)\b", re.I)
+_CLOSE = {n: re.compile(rf"</{n}\s*+>", re.I) for n in ("script", "style", "head", "noscript", "template", "svg")}
+_BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|caption|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*+>", re.I)
+_TAG = re.compile(r"</?[a-zA-Z][^>]*+>")
 _SPACE = re.compile(r"\s+")
 
 
+def _without_hidden(page: str) -> str:
+    """The page without comments, declarations and the elements that hold no text; each leaves a blank. One pass: what is looked for and missing once isn't looked for again."""
+    out, at, last = [], 0, page.rfind(">")
+    while m := _OPEN.search(page, at):
+        out.append(page[at : m.start()])
+        name, end = m[1], -1
+        if m[0] == "<!--":
+            end = page.find("-->", m.end())
+            end = end + 3 if end >= 0 else len(page)
+        elif m.start() > last:  # no tag ends from here on, so only a comment can begin
+            tail = page.find("<!--", m.start())
+            out.append(page[m.start() : tail] + " " if tail >= 0 else page[m.start() :])
+            return "".join(out)
+        else:
+            end = page.index(">", m.end()) + 1
+            if name:
+                close = _CLOSE[name.lower()].search(page, end)
+                end = close.end() if close else len(page)
+        out.append(" ")
+        at = end
+    return "".join(out) + page[at:]
+
+
+def _replace(tag: re.Pattern, by: str, text: str) -> str:
+    """Substitute tags up to the last ``>``: beyond it none ends, and every ``<`` would look for an end in vain."""
+    cut = text.rfind(">") + 1
+    return tag.sub(by, text[:cut]) + text[cut:]
+
+
 def to_lines(page: str) -> list[str]:
-    """The lines of the page as text."""
-    text = _TAG.sub("", _BREAK.sub("\n", _SPACE.sub(" ", _DROP.sub(" ", page))))
+    """The lines of the page as text, in time linear in its length."""
+    text = _replace(_TAG, "", _replace(_BREAK, "\n", _SPACE.sub(" ", _without_hidden(page))))
     return [_SPACE.sub(" ", _html.unescape(x)).strip() for x in text.split("\n")]
 
 
