@@ -15,7 +15,8 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_token_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output.encode_tokens(_read(spark, sf_dir, "documents"))[0]
+    """Streams and codebook as one table, from which :func:`token_output.decode_stored` gives the ids back."""
+    return token_output.with_codebook(*token_output.encode_tokens(_read(spark, sf_dir, "documents")))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,9 +12,12 @@ Cases
 * A null text gives null ``bits`` and ``n_tokens`` (and null ``checkpoints``).
 * An empty text gives zero tokens, empty ``bits`` and no checkpoints.
 * Texts of any length are encoded whole.
-* One distinct id in the table still gets a one-bit code.
+* One distinct id in the table still gets a one-bit code. Ids of equal count
+  get their lengths in order of id, and equal lengths their codes.
 * Repeated rows are encoded each; an empty table gives an empty result and an
-  empty codebook. Other columns are ignored.
+  empty codebook. Other columns are ignored, whatever their names.
+* A row with a null id is encoded as others; rows of the codebook are told from
+  it by their ``token_id``.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import common as C
 
+#: A file that every executor has at the same path, as the installed package of vocabularies gives it.
 VOCABULARY = os.environ.get("QUARRY_VOCABULARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 MAX_BITS = 20
 BLOCK = 256
@@ -147,8 +151,16 @@ class Codebook:
         p = counts.orderBy("id").toPandas()
         return cls(p["id"].to_numpy(), code_lengths(p["n"].to_numpy(), max_bits), max_bits)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k != "_tables"}
+
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         """Id and length for every value of the next ``max_bits`` bits."""
+        if not hasattr(self, "_tables"):
+            self._tables = self._make_tables()
+        return self._tables
+
+    def _make_tables(self) -> tuple[np.ndarray, np.ndarray]:
         sym, length = np.zeros(1 << self.max_bits, np.int32), np.zeros(1 << self.max_bits, np.uint8)
         order = np.lexsort((self.ids, self.lengths))
         span = 1 << (self.max_bits - self.lengths[order])
@@ -195,7 +207,11 @@ class Codebook:
 
 
 def encode_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY, max_bits: int = MAX_BITS, block: int = BLOCK) -> tuple[DataFrame, Codebook]:
-    """(doc_id, n_tokens, n_bits, bits, checkpoints) per row, and the codebook."""
+    """(doc_id, n_tokens, n_bits, bits, checkpoints, verified) per row, and the codebook.
+
+    Every stream is decoded again where it is made, block by block through the
+    table; ``verified`` says whether that gave the ids.
+    """
     if not 1 <= max_bits <= 24:
         raise ValueError("max_bits is from 1 to 24")
     ids = C.cut(_ids(docs, id_col, text_col, path))
@@ -206,15 +222,30 @@ def encode_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for a in range(0, batch.num_rows, 128):
                 b = batch.slice(a, 128)
                 rows = _arrays(b)
-                done = iter(book.encode([x for x in rows if x is not None], block))
-                out = [(None, None) if x is None else next(done) for x in rows]
+                live = [x for x in rows if x is not None]
+                streams = book.encode(live, block)
+                back = book.decode([s for s, _ in streams], [len(x) for x in live], [c for _, c in streams], block)
+                done = iter([(*s, np.array_equal(x, y)) for s, x, y in zip(streams, live, back)])
+                out = [(None, None, None) if x is None else next(done) for x in rows]
                 last = [None if x is None else int(book.length_of[x].sum()) for x in rows]
                 yield pa.RecordBatch.from_arrays(
-                    [C.column(b, "doc_id"), pa.array([None if x is None else len(x) for x in rows], pa.int64()), pa.array(last, pa.int64()), pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.list_(pa.int64()))],
-                    ["doc_id", "n_tokens", "n_bits", "bits", "checkpoints"],
+                    [C.column(b, "doc_id"), pa.array([None if x is None else len(x) for x in rows], pa.int64()), pa.array(last, pa.int64()), pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.list_(pa.int64())), pa.array([o[2] for o in out], pa.bool_())],
+                    ["doc_id", "n_tokens", "n_bits", "bits", "checkpoints", "verified"],
                 )
 
-    return C.map_arrow(ids, run, f"doc_id {dict(ids.dtypes)['doc_id']}, n_tokens bigint, n_bits bigint, bits binary, checkpoints array<bigint>"), book
+    return C.map_arrow(ids, run, f"doc_id {dict(ids.dtypes)['doc_id']}, n_tokens bigint, n_bits bigint, bits binary, checkpoints array<bigint>, verified boolean"), book
+
+
+def with_codebook(encoded: DataFrame, book: Codebook) -> DataFrame:
+    """``encoded`` with a row (token_id, code_length) for each id of the codebook: all that decoding needs, in one table."""
+    rows = encoded.sparkSession.createDataFrame(list(zip(book.ids.tolist(), book.lengths.tolist())), "token_id int, code_length int")
+    return encoded.unionByName(rows, allowMissingColumns=True)
+
+
+def decode_stored(table: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
+    """(doc_id, ids) of the rows of a table that :func:`with_codebook` gave, from that table alone."""
+    book = table.where("token_id IS NOT NULL").select("token_id", "code_length").orderBy("token_id").toPandas()  # a row per id of the vocabulary
+    return decode_tokens(table.where("token_id IS NULL"), Codebook(book["token_id"].to_numpy(), book["code_length"].to_numpy(), max_bits), block)
 
 
 def decode_tokens(encoded: DataFrame, book: Codebook, block: int = BLOCK) -> DataFrame:
