@@ -13,8 +13,10 @@ the windows, so neither depends on the length of the text. Landmarks come from
 one window of at most ``TRAIN_BYTES`` of each training text: that of a longer
 text would hold n-grams of any language.
 
-A text is rejected when it holds no letter, or when no landmark holds at least
-``min_coverage`` of its windows' n-grams: no language's texts resemble it.
+A text is rejected when it holds no letter, or when no landmark holds enough of
+its windows' n-grams: no language's texts resemble it. How much is enough is
+learnt (:func:`threshold`): what 99 in 100 training texts with their bytes
+shuffled don't reach, but always less than any held-out training text has.
 
 Cases
 -----
@@ -25,7 +27,9 @@ Cases
 * Without any training row, ``language`` is null and no text with letters is
   rejected. With a single label, every text with letters gets it.
 * Equal scores go to the alphabetically first language. Repeated rows are
-  scored each. Texts of any length are scored whole; of a training text longer
+  scored each. An empty table gives an empty result. Other columns are ignored
+  by :func:`identify` and carried by :func:`keep_identified`, whatever their
+  names. Texts of any length are scored whole; of a training text longer
   than ``TRAIN_BYTES``, the window in the middle is learnt.
 """
 
@@ -47,7 +51,8 @@ NGRAMS = (1, 2, 3, 4)
 PER_LANGUAGE = 300
 LANDMARKS = 192
 RIDGE = 1e-2
-MIN_COVERAGE = 0.4
+MIN_COVERAGE = 0.4  # where there are too few training rows to hold any out
+NOISE_SHARE = 0.99
 WINDOW = 1 << 12
 TRAIN_BYTES = 1 << 13
 _ROWS = 128
@@ -114,6 +119,7 @@ class Model:
     landmarks: np.ndarray  # (m, FEATURES) 0/1, packed
     weights: np.ndarray  # (m, languages)
     bias: np.ndarray
+    min_coverage: float = MIN_COVERAGE
 
     def scores(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scores of the texts by language, and the largest share of their windows' n-grams that one landmark holds."""
@@ -153,6 +159,20 @@ def fit(x: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: flo
     return Model(languages, np.packbits(x[pick], axis=1), (root @ w[:-1]).astype(np.float32), w[-1].astype(np.float32))
 
 
+def coverage(x: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
+    """The largest share of each text's n-grams that one landmark holds."""
+    return (x.astype(np.float32) @ landmarks.astype(np.float32).T).max(axis=1) / np.maximum(x.sum(axis=1, dtype=np.int64), 1)
+
+
+def threshold(x: np.ndarray, noise: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> float:
+    """The least coverage of an accepted text, from a fifth of the rows and their shuffled bytes, by the landmarks of the others."""
+    held = np.arange(len(x)) % 5 == 4
+    if held.sum() < 10:
+        return MIN_COVERAGE
+    marks = np.unpackbits(fit(x[~held], [v for v, h in zip(labels, held) if not h], landmarks, ridge).landmarks, axis=1)
+    return float(min(np.quantile(coverage(noise[held], marks), NOISE_SHARE), 0.9 * coverage(x[held], marks).min()))
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
     """Fit on a bounded sample of labelled rows; their n-grams are collected, not their texts."""
     slim = docs.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text")).where("label IS NOT NULL AND id IS NOT NULL")
@@ -165,18 +185,21 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
             for first, buf, offs in _chunks(C.column(b, "text")):
                 buf, offs = _middle(buf, offs)
                 part = b.slice(first, len(offs) - 1)
-                bits = pa.array([r.tobytes() for r in np.packbits(presence(buf, offs), axis=1)], pa.binary())
-                yield pa.RecordBatch.from_arrays([C.column(part, "label"), C.column(part, "id").cast(pa.string()), pa.array(_has_letter(buf, offs)), bits], ["label", "id", "ok", "bits"])
+                order = np.lexsort((np.random.default_rng(len(buf)).random(len(buf)), np.repeat(np.arange(len(offs) - 1), np.diff(offs))))
+                bits, noise = (pa.array([r.tobytes() for r in np.packbits(presence(t, offs), axis=1)], pa.binary()) for t in (buf, buf[order]))
+                yield pa.RecordBatch.from_arrays([C.column(part, "label"), C.column(part, "id").cast(pa.string()), pa.array(_has_letter(buf, offs)), bits, noise], ["label", "id", "ok", "bits", "noise"])
 
-    p = C.map_arrow(chosen, run, "label string, id string, ok boolean, bits binary").where("ok").toPandas()
+    p = C.map_arrow(chosen, run, "label string, id string, ok boolean, bits binary, noise binary").where("ok").toPandas()
     if p.empty:
         return None
     p = p.sort_values(["label", "id", "bits"]).drop_duplicates(["label", "id"])
-    x = np.unpackbits(np.frombuffer(b"".join(p["bits"]), np.uint8).reshape(len(p), -1), axis=1)
-    return fit(x, p["label"].tolist(), landmarks, ridge)
+    x, noise = (np.unpackbits(np.frombuffer(b"".join(p[c]), np.uint8).reshape(len(p), -1), axis=1) for c in ("bits", "noise"))
+    model = fit(x, p["label"].tolist(), landmarks, ridge)
+    model.min_coverage = threshold(x, noise, p["label"].tolist(), landmarks, ridge)
+    return model
 
 
-def predict(arr: pa.Array, model: Model | None, min_coverage: float = MIN_COVERAGE) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def predict(arr: pa.Array, model: Model | None, min_coverage: float | None = None) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Language, best score, lead over the second, coverage, and whether accepted, of every text."""
     n = len(arr)
     language: list = [None] * n
@@ -196,11 +219,11 @@ def predict(arr: pa.Array, model: Model | None, min_coverage: float = MIN_COVERA
         score[first + k] = top[:, -1]
         margin[first + k] = top[:, -1] - (top[:, -2] if s.shape[1] > 1 else 0)
         coverage[first + k] = c
-        ok[first + k] = c >= min_coverage
+        ok[first + k] = c >= (model.min_coverage if min_coverage is None else min_coverage)
     return language, score, margin, coverage, ok
 
 
-def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", min_coverage: float = MIN_COVERAGE) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", min_coverage: float | None = None) -> DataFrame:
     """(doc_id, language, score, margin, coverage, accepted) of every row."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -213,12 +236,17 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     return C.map_arrow(slim, run, f"doc_id {dict(slim.dtypes)['doc_id']}, language string, score double, margin double, coverage double, accepted boolean")
 
 
-def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text", min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """``docs`` without the rejected rows; nothing is shuffled."""
+def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text", min_coverage: float | None = None, label_col: str | None = None) -> DataFrame:
+    """``docs`` without the rejected rows; nothing is shuffled. Where the string column ``label_col`` is null, it gets the language found."""
     held, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    label = None if label_col is None else docs.columns.index(label_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(predict(b.column(place), held.value, min_coverage)[4]))
+            language, _, _, _, ok = predict(b.column(place), held.value, min_coverage)
+            if label is not None:
+                filled = pc.coalesce(b.column(label), pa.array(language, pa.string()).cast(b.column(label).type))
+                b = b.set_column(label, b.schema.field(label), filled)
+            yield b.filter(pa.array(ok))
 
     return C.map_arrow(docs, run, docs.schema)

@@ -1,4 +1,6 @@
+import itertools
 import math
+import time
 from collections import Counter
 
 import duckdb
@@ -35,7 +37,26 @@ def test_tokens_round_trip(odd, none):
     want = sorted((str(r.doc_id), r.text is None, [] if r.text is None else token_output.tokenize(r.text)) for r in odd.collect())
     got = sorted((str(r.doc_id), r.ids is None, list(r.ids or [])) for r in token_output.decode_tokens(enc, book).collect())
     assert got == want
-    assert token_output.encode_tokens(none)[0].count() == 0
+    assert token_output.encode_tokens(none)[0].count() == 0 and token_output.with_codebook(*token_output.encode_tokens(none)).count() == 0
+    assert all(r.verified is None if r.bits is None else r.verified for r in enc.collect())
+
+
+def test_tokens_decode_from_the_stored_table_alone(spark, odd, tmp_path):
+    one = docs(spark, [(2**53 + 1, "a", "en", "s", 1), (None, "a", "en", "s", 1)])  # a single id
+    for d in (odd, one):
+        path = f"{tmp_path}/{d is one}"
+        token_output.with_codebook(*token_output.encode_tokens(d, block=7)).write.parquet(path)
+        got = sorted((str(r.doc_id), list(r.ids or [])) for r in token_output.decode_stored(spark.read.parquet(path), block=7).collect())
+        assert got == sorted((str(r.doc_id), [] if r.text is None else token_output.tokenize(r.text)) for r in d.collect())
+
+
+def test_limited_code_lengths_are_optimal():
+    """Against the least cost of any lengths up to 3 or 4 bits that satisfy Kraft's inequality."""
+    rng = np.random.default_rng(12)
+    for _ in range(40):
+        counts, limit = np.sort(rng.integers(1, 60, rng.integers(2, 7))), int(rng.integers(3, 5))
+        best = min(int((counts * np.array(x)).sum()) for x in itertools.product(range(1, limit + 1), repeat=len(counts)) if sum(2.0**-k for k in x) <= 1)
+        assert int((counts * token_output.code_lengths(counts, limit)).sum()) == best
 
 
 def test_code_lengths_are_limited_and_optimal():
@@ -185,6 +206,48 @@ def test_html(spark):
     assert got[2] is None and got[3] == "" and got[4] == "" and got[5] == got[1] and got[6] == ""
 
 
+@pytest.mark.parametrize("bit", ["<script ", "<a ", "<p ", "<!-- ", "<!x ", "</script ", "<svg>", "<", "&amp", "<script></script", "<div><br>", "</head   ", "<p>x</p>\n\n"])
+def test_html_time_is_linear(bit):
+    page = bit * (10_000_000 // len(bit))
+    began = time.process_time()
+    html_extract.extract(page)
+    assert time.process_time() - began < 30
+
+
+def test_html_hidden_parts_against_character_loop():
+    def plain(page):
+        out, at = "", 0
+        while at < len(page):
+            rest = page[at:].lower()
+            name = next((n for n in ("script", "head", "svg") if rest.startswith("<" + n) and (rest + " ")[len(n) + 1] in " >\n<"), None)
+            if rest.startswith("<!--"):
+                end = page.find("-->", at + 4)
+                at, out = (end + 3 if end >= 0 else len(page)), out + " "
+            elif (rest.startswith("<!") or name) and ">" in rest:
+                end = at + rest.index(">") + 1
+                if name:
+                    close = next((i for i in range(end, len(page)) if page[i:].lower().startswith(f"</{name}>")), -1)
+                    end = close + len(name) + 3 if close >= 0 else len(page)
+                at, out = end, out + " "
+            else:
+                out, at = out + page[at], at + 1
+        return out
+
+    rng = np.random.default_rng(8)
+    parts = ["<script>", "</script>", "<HEAD>", "</head>", "<svg ", "</svg>", "<!--", "-->", "<!doc>", "<!", ">", "text", " ", "<p>", "\n"]
+    for _ in range(3000):
+        page = "".join(rng.choice(parts, rng.integers(0, 12)))
+        assert html_extract._without_hidden(page) == plain(page), page
+
+
+def test_html_edges(spark):
+    rows = [(k, "<p>" + "word " * 100_000 + "</p>") for k in (2**53 + 1, None)]
+    d = spark.createDataFrame(rows, "page_id bigint, html string").withColumn("n_chars", F.lit("x")).withColumn("text", F.lit(1))
+    got = html_extract.extract_pages(d).collect()
+    assert sorted(str(r.page_id) for r in got) == ["9007199254740993", "None"] and all(r.n_chars == 499_999 for r in got)
+    assert html_extract.extract_pages(d.limit(0)).count() == 0
+
+
 def test_html_blocks_against_plain_loop():
     rng = np.random.default_rng(3)
     for _ in range(200):
@@ -346,6 +409,55 @@ def test_pipeline_keeps_one_of_a_group_of_copies(spark):
     assert sum(100 <= i < 200 for i in left) == 1 and sum(i >= 200 for i in left) == 1 and len(left) == 62
 
 
+@pytest.fixture(scope="module")
+def odd_docs(spark, odd):
+    """The odd rows with two columns more than documents has, one of a name that a stage takes itself, and enough text to train on."""
+    more = spark.read.parquet(f"{SF}/documents.parquet").withColumn("__dropped", F.lit(7)).withColumn("__hash", F.lit("h"))
+    return more.unionByName(odd.select(*more.columns[:5]).withColumn("__dropped", F.lit(8)).withColumn("__hash", F.lit(None).cast("string")))
+
+
+def _rows(df):
+    return Counter(tuple(map(str, r)) for r in df.collect())
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_stages_carry_odd_rows(spark, odd_docs, none, k):
+    name, stage = corpus_pipeline.STAGES[k]
+    out = stage(spark, odd_docs, SF)
+    assert out.columns == odd_docs.columns
+    before, after = _rows(odd_docs.where("`__dropped` = 8")), _rows(out.where("`__dropped` = 8"))
+    want = dict(before)
+    if name == "language_id":
+        want = {r: n for r, n in want.items() if r[1].strip() and r[1] != "None"}
+        assert all(r[2] != "None" for r in after)
+    elif name == "near_dedup":
+        want = {r: 1 for r in want}
+    assert dict(after) == want
+    empty = odd_docs.limit(0)
+    assert stage(spark, empty, SF).columns == odd_docs.columns and stage(spark, empty, SF).count() == 0
+
+
+def test_language_stage_fills_null_labels_and_rejects(spark, odd_docs):
+    noise = [(900 + i, "".join(np.random.default_rng(i).choice(list("bcdfghjklmnpqrstvwxz "), 800)), None, "s", 1) for i in range(5)]
+    known = spark.read.parquet(f"{SF}/documents.parquet")
+    d = known.withColumn("lang", F.when(F.col("doc_id") % 7 > 0, F.col("lang"))).unionByName(docs(spark, noise))
+    out = corpus_pipeline.language_id(spark, d, SF).select("doc_id", F.col("lang").alias("found"))
+    both = known.join(out, "doc_id").where("lang <> found")
+    assert out.count() == known.count() and both.count() == 0
+
+
+def test_pack_stage_places_every_token(spark, odd_docs, none):
+    out = corpus_pipeline.pack(spark, odd_docs, SF)
+    want = Counter()
+    for r in odd_docs.collect():
+        n = len(token_output.tokenize(r.text)) if r.text else 0
+        want[str(r.doc_id)] += n
+    got = Counter()
+    for r in out.collect():
+        got[str(r.doc_id)] += r.n_tokens
+    assert got == +want and corpus_pipeline.pack(spark, none, SF).count() == 0
+
+
 def test_pipeline(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "decontamination", "packing"]
