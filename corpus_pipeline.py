@@ -2,6 +2,19 @@
 
 Every stage takes ``(spark, docs, sf_dir)``. The first four return the columns
 of ``documents``; the last returns the packing of what they kept.
+
+Cases, of all stages
+--------------------
+* An empty table stays empty. Further columns are carried untouched through the
+  first four stages, whatever their names.
+* Rows with a null id are rows like others. Texts of any length are read whole.
+* A null, empty or blank text goes in :func:`language_id`, which finds no letter
+  in it; the later stages, run without it, keep such a row (:func:`pack` has no
+  tokens of it to place).
+* Null labels train nothing, null sources are no site.
+* Repeated rows: :func:`near_dedup` keeps one of them, all other stages treat
+  each by itself. Ties there go to the smallest ``(doc_id, hash of the text)``,
+  null ids first.
 """
 
 from __future__ import annotations
@@ -23,8 +36,8 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on their own labels, places in a language."""
-    return langid.keep_identified(docs, langid.train(docs))
+    """Documents that the classifier, fitted on their own labels, places in a language; a null label becomes the language found."""
+    return langid.keep_identified(docs, langid.train(docs), label_col="lang")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +67,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training sequences."""
+    """The training sequences: every piece of every document kept, with its place."""
     return packing.pack(docs)
 
 
