@@ -15,7 +15,7 @@ text would hold n-grams of any language.
 
 A text is rejected when it holds no letter, or when no landmark holds enough of
 its windows' n-grams: no language's texts resemble it. How much is enough is
-learnt (:func:`threshold`): what 99 in 100 training texts with their bytes
+learnt (:func:`threshold`): what 9 in 10 training texts with their bytes
 shuffled don't reach, but always less than any held-out training text has.
 
 Cases
@@ -52,7 +52,7 @@ PER_LANGUAGE = 300
 LANDMARKS = 192
 RIDGE = 1e-2
 MIN_COVERAGE = 0.4  # where there are too few training rows to hold any out
-NOISE_SHARE = 0.99
+NOISE_SHARE = 0.9
 WINDOW = 1 << 12
 TRAIN_BYTES = 1 << 13
 _ROWS = 128
