@@ -5,6 +5,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,7 +103,7 @@ def test_language_rejection_does_not_depend_on_length(spark):
     strange = ["".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), n)) for n in rng.integers(3, 9, 400)]
     unseen = [" ".join(rng.choice(w, n)) for w in (noise, strange) for n in (100, 1000, 200_000)]
     rows += [(9, t, "none", "s", 0) for t in unseen]
-    arr = __import__("pyarrow").array([r[1] for r in rows])
+    arr = pa.array([r[1] for r in rows])
     for m in (model, langid.train(docs(spark, [*rows[:8], *((20 + i, r.text, r.lang, "s", 0) for i, r in enumerate(d.where("doc_id < 60").collect()))]))):
         language, _, _, _, ok = langid.predict(arr, m)
         assert list(ok) == [r[2] != "none" for r in rows]
@@ -287,7 +288,7 @@ def test_near_duplicates_against_brute_force(spark, odd, none):
             t = base.copy()
             t[rng.integers(0, 150, c)] = rng.choice(words, c)
             rows.append((len(rows), " ".join(t), "en", "s", 0))
-    fp = np.array([np.frombuffer(x, np.uint8) for x in simhash.fingerprints(__import__("pyarrow").array([r[1] for r in rows]))])
+    fp = np.array([np.frombuffer(x, np.uint8) for x in simhash.fingerprints(pa.array([r[1] for r in rows]))])
     near = np.bitwise_count(fp[:, None] ^ fp[None]).sum(axis=2, dtype=int) <= simhash.MAX_HAMMING
     root = list(range(len(rows)))
     for _ in rows:
@@ -353,20 +354,70 @@ def test_packing_leaves_ids_alone_and_spreads_repeated_rows(spark):
     assert {r.doc_id for r in names} == {None if r[0] is None else str(r[0]) for r in rows if r[2]}
 
 
-def test_nearest_neighbours(spark):
+def _exact(x, k):
+    s = x @ x.T
+    np.fill_diagonal(s, -9)
+    return np.argsort(-s, axis=1, kind="stable")[:, :k]
+
+
+def test_nearest_neighbours_odd_rows(spark):
     rng = np.random.default_rng(7)
     x = rng.standard_normal((300, 16))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(None, [1.0] * 16), (900, None), (901, []), (902, [float("nan")] * 16), (0, x[0].tolist()), (903, [1.0, 2.0])]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("rank", F.lit(0)).withColumn("dim", F.lit(0))
-    p = ann.nearest(df, k=5).toPandas()
-    s = x @ x.T
-    np.fill_diagonal(s, -9)
-    best = np.argsort(-s, axis=1)[:, :5]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("rank", F.lit(0)).withColumn("dim", F.lit(0)).withColumn("ask", F.lit("x"))
+    for query_bytes in (1 << 20, 20_000):  # one block, and many
+        p = ann.nearest(df, k=5, query_bytes=query_bytes).toPandas()
+        got, best = p.groupby("vec_id").neighbor_id.apply(set), _exact(x, 5)
+        assert np.mean([len(set(best[i]) & got[i]) / 5 for i in range(300)]) >= 0.9
+        assert set(p.vec_id) == set(range(300)) and (p.vec_id != p.neighbor_id).all() and (p.groupby("vec_id").size() == 5).all()
+    assert ann.nearest(df.limit(0)).count() == 0 and ann.nearest(df, asks=F.lit(None).cast("boolean")).count() == 0
+    few = ann.nearest(df.where("vec_id < 4"), k=10, asks=F.col("vec_id") == 2).collect()
+    assert sorted(r.neighbor_id for r in few) == [0, 1, 3] and {r.vec_id for r in few} == {2}
+
+
+def test_nearest_neighbours_ties_and_large_ids(spark):
+    one, other = [1.0] + [0.0] * 7, [0.0] * 8
+    rows = [(2**62 + i, one) for i in range(40)] + [(-1, other), (-2, other)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = ann.nearest(df, k=4).collect()
+    for r in got:
+        want = [2**62 + i for i in range(6) if 2**62 + i != r.vec_id][:4] if r.vec_id > 0 else sorted({-1, -2, *(2**62 + i for i in range(4))} - {r.vec_id})[:4]
+        assert r.neighbor_id == want[r.rank - 1] and r.similarity == (1.0 if r.vec_id > 0 else 0.0)
+    assert len(got) == 42 * 4
+    names = ann.nearest(df.select(F.col("vec_id").cast("string"), "embedding"), k=4)
+    assert {len(v) for v in names.toPandas().groupby("vec_id").neighbor_id.apply(set)} == {4}
+
+
+def test_nearest_neighbours_against_brute_force_where_most_is_never_compared(spark, monkeypatch):
+    """Clusters in 30,000 points, 40 candidates: the forest looks at a small share of the table."""
+    rng = np.random.default_rng(17)
+    centre = rng.standard_normal((1500, 32))
+    x = (centre[np.arange(30_000) % 1500] + 0.2 * rng.standard_normal((30_000, 32))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(30_000)), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+    p = ann.nearest(df, asks=F.col("vec_id") % 100 == 0, candidates=40).toPandas()
+    q = np.arange(0, 30_000, 100)
+    s = x[q] @ x.T
+    s[np.arange(len(q)), q] = -9
+    best = np.argsort(-s, axis=1)[:, :10]
     got = p.groupby("vec_id").neighbor_id.apply(set)
-    assert np.mean([len(set(best[i]) & got[i]) / 5 for i in range(300)]) >= 0.9
-    assert set(p.vec_id) == set(range(300)) and (p.vec_id != p.neighbor_id).all()
-    assert ann.nearest(df.limit(0)).count() == 0
+    assert set(p.vec_id) == set(q) and np.mean([len(set(best[i]) & got[v]) / 10 for i, v in enumerate(q)]) >= 0.9
+    assert np.allclose(p.similarity, (x[p.vec_id] * x[p.neighbor_id]).sum(axis=1), atol=1e-5)
+    code = ann.codes(x, ann.TREES)
+    orders = [np.argsort(code[:, t], kind="stable") for t in range(ann.TREES)]
+    level = ann.level_for(np.array([s[i, best[i, -1]] for i in range(len(q))]), ann.TREES, ann.MISS)
+    compared = ann._candidates([code[o, t] for t, o in enumerate(orders)], orders, code[q], level)
+    assert compared.mean() < 0.1
+
+
+def test_forest_ranges_against_prefix_comparison():
+    rng = np.random.default_rng(18)
+    code, ask, level = rng.integers(0, 1 << ann.BITS, (200, 3)), rng.integers(0, 1 << ann.BITS, (20, 3)), rng.integers(0, 8, 20)
+    orders = [np.argsort(code[:, t], kind="stable") for t in range(3)]
+    got = ann._candidates([code[o, t] for t, o in enumerate(orders)], orders, ask, level)
+    want = np.array([[any(c[t] >> (ann.BITS - x) == a[t] >> (ann.BITS - x) for t in range(3)) for c in code] for a, x in zip(ask, level)])
+    assert (got == want).all()
 
 
 def test_line_dedup(spark, odd, none):
