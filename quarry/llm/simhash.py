@@ -4,24 +4,35 @@ Each text becomes a 256-bit SimHash of its lower-cased words, weighted by one
 plus the log of their count. A fingerprint is embedded as the bit counts of its
 128 two-bit segments. The Manhattan distance of two such vectors never exceeds
 the Hamming distance of the fingerprints, so near fingerprints lie near each
-other in this space. The range join is approximate, by locality-sensitive hashing: every
-table projects the vectors on a random set of segments, and fingerprints with
-equal counts in all of them, in any table, are candidates. The number of tables
-gives a pair at the limit of ``MAX_HAMMING`` bits a chance above 0.9 of being
-one, and nearer pairs more. A candidate pair has to pass the Manhattan bound
-over the 64-bit words and then the exact Hamming test. Within a cell only
-a spanning forest of the confirmed pairs is emitted, so thousands of copies
-give thousands of edges, not millions. Groups are the connected components.
+other in this space, and it rules pairs out before the exact Hamming test.
+
+An exact range join on a grid of these counts would compare most pairs of the
+table: with a limit of 40 in 256 bits, some of g groups of segments lies within
+40 / g, which in any group of 32 bits one random pair in 500 does, and in one of
+8 bits nearly every second. The join is therefore approximate: every table is a
+grid of width one over a random set of segments, and fingerprints of one cell,
+in any table, are compared. :func:`grid` chooses the dimensions of the grid
+from the number of fingerprints, so that cells stay small, and as many tables as
+give a pair at the limit of ``MAX_HAMMING`` bits a chance above 0.9, and nearer
+pairs more (0.99 at 32 bits, 1.0 at 28).
+
+Within a cell only a spanning forest of the confirmed pairs is emitted, so
+thousands of copies give thousands of edges, not millions. A cell of more than
+about ``HOT`` fingerprints is cut in blocks, each pair of which is compared in a
+task of its own. Groups are the connected components. Fingerprints stand for
+themselves throughout, so none is taken for another by its hash.
 
 Cases
 -----
 * Null, empty and blank texts have no fingerprint and are never duplicates.
 * A text without any word byte is fingerprinted as one feature.
+* Texts of any length are fingerprinted whole.
 * Ties: the row with the smallest ``(doc_id, hash of the text)`` is kept, null
   ids first.
 * Repeated rows (same id and text) collapse to one.
 * Rows that share an id but not a text are separate documents.
-* An empty table gives an empty result; other columns are carried untouched.
+* An empty table gives an empty result; other columns are carried untouched,
+  whatever their names.
 """
 
 from __future__ import annotations
@@ -41,6 +52,10 @@ MAX_HAMMING = 40
 SEGMENT_BITS = 2
 SEGMENTS_PER_TABLE = 11
 TABLES = 100
+GRID_ROWS = 1 << 24
+HOT = 1 << 14
+HOT_CELLS = 100_000
+_SAMPLE = 16
 _SEEDS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -110,23 +125,69 @@ def embed(fps: np.ndarray) -> np.ndarray:
     return np.unpackbits(fps, axis=1).reshape(len(fps), -1, SEGMENT_BITS).sum(axis=2, dtype=np.uint8)
 
 
-def _cells(nodes: DataFrame, tables: int, per_table: int) -> DataFrame:
+def grid(n: int, tables: int = TABLES, per_table: int = SEGMENTS_PER_TABLE) -> tuple[int, int]:
+    """Tables and dimensions for ``n`` fingerprints.
+
+    Two random ones agree in a segment with a chance of 3/8, a pair at the limit
+    with one of 0.724: beyond ``GRID_ROWS``, every further dimension makes cells
+    of 8/3 as many rows as small, and takes 1.38 times the tables for the same recall.
+    """
+    more = max(0, int(np.ceil(np.log(max(n, 1) / GRID_ROWS) / np.log(8 / 3))))
+    return int(np.ceil(tables * 0.724**-more)), min(per_table + more, BITS // SEGMENT_BITS)
+
+
+def _cells(nodes: DataFrame, tables: int, per_table: int, hot: int = HOT) -> DataFrame:
+    """(cell, fp): a row for each table, and one for each pair of blocks where the cell is hot."""
     picks = table_segments(tables, per_table)
     radix = np.uint64(SEGMENT_BITS + 1) ** np.arange(per_table, dtype=np.uint64)
-    cells = np.uint64(SEGMENT_BITS + 1) ** np.uint64(per_table)
+    spread = C.mix(np.arange(1, tables + 1, dtype=np.uint64))
+
+    def numbers(fps: np.ndarray) -> np.ndarray:
+        v = embed(fps)
+        return np.concatenate([(C.mix(v[:, p].astype(np.uint64) @ radix ^ spread[t]) >> np.uint64(2)).astype(np.int64) for t, p in enumerate(picks)])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                yield pa.RecordBatch.from_arrays([pa.array(numbers(_matrix(C.column(batch.slice(a, 500), "fp"))))], ["cell"])
+
+    blocks: dict[int, int] = {}
+    if nodes.limit(hot + 1).count() > hot:
+        # which cells are hot decides about the work's distribution only, so a sample of the rows is enough
+        some = nodes.where(F.pmod(F.xxhash64("fp"), F.lit(_SAMPLE)) == 0).select("fp")
+        n = C.map_arrow(some, counted, "cell bigint").groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > max(1, hot // _SAMPLE))
+        blocks = {c: -(-k * _SAMPLE // hot) for c, k in n.orderBy(F.desc("n"), "cell").limit(HOT_CELLS).collect()}
+    known, parts = np.array(sorted(blocks), np.int64), np.array([blocks[c] for c in sorted(blocks)], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 b = batch.slice(a, 500)
-                v = embed(_matrix(C.column(b, "fp")))
-                ids = np.concatenate([np.uint64(t) * cells + v[:, p].astype(np.uint64) @ radix for t, p in enumerate(picks)])
-                take = pa.array(np.tile(np.arange(b.num_rows), len(picks)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), C.column(b, "fp").take(take)], ["cell", "fp"])
+                fps = _matrix(C.column(b, "fp"))
+                ids, take = numbers(fps), np.tile(np.arange(len(fps)), len(picks))
+                if len(known):
+                    ids, take = split_hot(ids, take, C.mix(fps.view(np.uint64)[:, 0] ^ fps.view(np.uint64)[:, 1]), known, parts)
+                for c in range(0, len(ids), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[c : c + (1 << 16)]), C.column(b, "fp").take(pa.array(take[c : c + (1 << 16)]))], ["cell", "fp"])
 
     return C.map_arrow(nodes.select("fp"), run, "cell bigint, fp binary")
 
 
+def split_hot(ids: np.ndarray, take: np.ndarray, own: np.ndarray, known: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Put every row of a hot cell in the cells of all pairs of blocks that its block is in; any two rows share one of them."""
+    at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+    hot = np.flatnonzero(known[at] == ids)
+    if not len(hot):
+        return ids, take
+    n = parts[at[hot]]
+    cell, row, other = np.repeat(ids[hot], n), np.repeat(take[hot], n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    mine = (own[row] % np.repeat(n, n).astype(np.uint64)).astype(np.int64)
+    pair = (np.minimum(mine, other).astype(np.uint64) << np.uint64(32)) | np.maximum(mine, other).astype(np.uint64)
+    made = -1 - (C.mix(C.mix(pair + np.uint64(1)) ^ cell.astype(np.uint64)) >> np.uint64(2)).astype(np.int64)
+    cold = np.delete(np.arange(len(ids)), hot)
+    return np.concatenate((ids[cold], made)), np.concatenate((take[cold], row))
+
+
 def _matrix(arr: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(arr.to_pylist()), np.uint8).reshape(-1, BITS // 8)
 
@@ -184,7 +245,7 @@ def forest(cell: np.ndarray, fp: np.ndarray, limit: int, small: int = 48) -> tup
 
 
 def _edges(cells: DataFrame, limit: int) -> DataFrame:
-    """(u, v), node numbers of near fingerprints; they are hashed here, as the cells carry fingerprints only."""
+    """(u, v), near fingerprints, the smaller first."""
     ordered = cells.repartition("cell").sortWithinPartitions("cell")
 
     def emit(cell, fp):
@@ -206,7 +267,7 @@ def _edges(cells: DataFrame, limit: int) -> DataFrame:
         if held:
             yield emit(*map(np.concatenate, zip(*held)))
 
-    pairs = C.map_arrow(ordered, run, "u binary, v binary").select(F.xxhash64("u").alias("u"), F.xxhash64("v").alias("v"))
+    pairs = C.map_arrow(ordered, run, "u binary, v binary")
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
@@ -233,15 +294,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components didn't settle in {rounds} rounds")
 
 
-def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_HAMMING, tables: int = TABLES, per_table: int = SEGMENTS_PER_TABLE) -> DataFrame:
+def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_HAMMING, tables: int = TABLES, per_table: int = SEGMENTS_PER_TABLE, hot: int = HOT) -> DataFrame:
     """(doc_id, text_hash, keep_id, keep_hash) for every fingerprinted row of a group, keepers included."""
-    sig = C.cut(signatures(docs, id_col, text_col).withColumn("node", F.xxhash64("fp")))
-    nodes = C.cut(sig.groupBy("node").agg(F.first("fp").alias("fp"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.count("*").alias("n")))
-    groups = components(_edges(_cells(nodes, tables, per_table), limit))
-    placed = nodes.join(C.broadcast_if_small(groups), "node", "left").select("node", "rep", "n", F.coalesce("root", "node").alias("root"))
+    sig = C.cut(signatures(docs, id_col, text_col))
+    nodes = C.cut(sig.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.count("*").alias("n")))
+    groups = components(_edges(_cells(nodes, *grid(nodes.count(), tables, per_table), hot), limit))
+    placed = nodes.join(C.broadcast_if_small(groups), nodes["fp"] == groups["node"], "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root"))
     keep = placed.groupBy("root").agg(F.min("rep").alias("keep"), F.sum("n").alias("rows")).where("rows > 1")
-    member = C.cut(placed.join(keep, "root").select("node", "keep"))
-    return sig.join(C.broadcast_if_small(member), "node").select("doc_id", "text_hash", F.col("keep.doc_id").alias("keep_id"), F.col("keep.text_hash").alias("keep_hash"))
+    member = C.cut(placed.join(keep, "root").select("fp", "keep"))
+    return sig.join(C.broadcast_if_small(member), "fp").select("doc_id", "text_hash", F.col("keep.doc_id").alias("keep_id"), F.col("keep.text_hash").alias("keep_hash"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

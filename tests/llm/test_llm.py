@@ -301,6 +301,45 @@ def test_near_duplicates_against_brute_force(spark, odd, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.drop_near_duplicates(none).count() == 0
 
 
+def _flipped(rng, x, d):
+    bits = np.zeros((len(x), simhash.BITS), np.uint8)
+    np.put_along_axis(bits, rng.random((len(x), simhash.BITS)).argsort(axis=1)[:, :d], 1, axis=1)
+    return x ^ np.packbits(bits, axis=1)
+
+
+def test_planted_pairs_at_every_distance(spark):
+    """Recall by distance through the whole join: all pairs up to 24 bits, 0.9 of those at 33 to 40, none beyond the limit."""
+    rng = np.random.default_rng(19)
+    want, fps = {}, []
+    for d in range(1, 49):
+        x = rng.integers(0, 256, (50, simhash.BITS // 8), dtype=np.uint8)
+        for a, b in zip(x, _flipped(rng, x, d)):
+            want[frozenset((a.tobytes(), b.tobytes()))] = d
+            fps += [a.tobytes(), b.tobytes()]
+    nodes = spark.createDataFrame([(bytearray(f),) for f in fps], "fp binary")
+    for hot in (simhash.HOT, 6):
+        cells = simhash._cells(nodes, *simhash.grid(len(fps)), hot)
+        found = {frozenset((bytes(r.u), bytes(r.v))) for r in simhash._edges(cells, simhash.MAX_HAMMING).collect()}
+        by = Counter(want[p] for p in found)
+        assert found <= set(want) and all(by[d] == 50 for d in range(1, 25)) and max(by) <= simhash.MAX_HAMMING
+        assert sum(by[d] for d in range(33, 41)) >= 0.9 * 8 * 50
+
+
+def test_hot_cells_compare_every_pair(spark):
+    ids, take = np.full(60, 5), np.arange(60)
+    own = np.random.default_rng(20).integers(0, 1 << 63, 60).astype(np.uint64)
+    cell, row = simhash.split_hot(np.append(ids, 9), np.append(take, 0), own, np.array([5]), np.array([4]))
+    met = {frozenset((a, b)) for c in set(cell.tolist()) for a in row[cell == c] for b in row[cell == c]}
+    assert len(met) == 60 * 61 // 2 and (cell == 9).sum() == 1 and 5 not in cell and max(Counter(cell.tolist()).values()) < 60
+
+
+def test_grid_grows_with_the_table():
+    assert simhash.grid(1000) == simhash.grid(1 << 24) == (simhash.TABLES, simhash.SEGMENTS_PER_TABLE)
+    tables, per_table = simhash.grid(10**10)
+    assert per_table > simhash.SEGMENTS_PER_TABLE and 10**10 * (3 / 8) ** per_table <= (1 << 24) * (3 / 8) ** simhash.SEGMENTS_PER_TABLE
+    assert 1 - (1 - 0.724**per_table) ** tables >= 0.9
+
+
 def test_embedding_distance_is_a_lower_bound():
     rng = np.random.default_rng(5)
     a, b = rng.integers(0, 256, (2, 100, 32), dtype=np.uint8)
