@@ -70,3 +70,13 @@ def history(spark: SparkSession, folder: str) -> DataFrame:
             seen.setdefault(path, (path, sha, name, mail, int(when), message.strip()))
     rows = spark.createDataFrame(list(seen.values()), "path string, commit string, author string, author_email string, committed bigint, message string")
     return rows.withColumn("committed", F.timestamp_seconds("committed"))
+
+
+def with_facts(docs: DataFrame, facts: DataFrame) -> DataFrame:
+    """``docs`` with what :func:`history` knows of their path, under the names that result filters use; a file without history keeps its row."""
+    message = F.col("__f.message")
+    known = facts.select(F.struct(*facts.columns).alias("__f"))
+    return docs.join(known, F.col("path") == F.col("__f.path"), "left").select(
+        *[docs[c] for c in docs.columns], F.coalesce("__f.author_email", F.lit("")).alias("commit_author"), F.coalesce("__f.author", F.lit("")).alias("commit_author_name"), F.coalesce(message, F.lit("")).alias("commit_message"), F.col("__f.committed").alias("commit_date"),
+        F.coalesce(F.transform(co_authors_of(F.coalesce(message, F.lit(""))), lambda a: a["email"]), F.array().cast("array<string>")).alias("commit_coauthors"),
+    )

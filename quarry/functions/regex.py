@@ -11,7 +11,8 @@ from dataclasses import dataclass, field
 from re import _constants as K
 from re import _parser as P
 
-_POSIX = {"alpha": "Alpha", "digit": "Digit", "alnum": "Alnum", "upper": "Upper", "lower": "Lower", "punct": "Punct", "space": "Space", "xdigit": "XDigit", "blank": "Blank", "cntrl": "Cntrl", "graph": "Graph", "print": "Print"}
+_POSIX = {"alpha": "Alpha", "digit": "Digit", "alnum": "Alnum", "upper": "Upper", "lower": "Lower", "punct": "Punct", "space": "Space", "xdigit": "XDigit", "blank": "Blank", "cntrl": "Cntrl", "graph": "Graph", "print": "Print", "ascii": "ASCII"}
+_CLASS = re.compile(r"\[:(\^?)(\w+):\]")
 _UNSUPPORTED = re.compile(r"\(\?[=!]|\(\?<[=!]|\\[1-9]|\(\?>|\(\?\(")
 
 
@@ -116,7 +117,9 @@ def plan(pattern: str) -> Plan:
     """
     if _UNSUPPORTED.search(pattern):
         raise ValueError(f"not an RE2 pattern: {pattern!r}")
-    spelled = re.sub(r"\[:(\^?)(\w+):\]", r"\\w", pattern).replace(r"\z", r"\Z").replace("(?<", "(?P<").replace("(?PP<", "(?P<")
+    if unknown := {m[2] for m in _CLASS.finditer(pattern)} - {*_POSIX, "word"}:
+        raise ValueError(f"no such class: {unknown}")
+    spelled = _CLASS.sub(r"\\w", pattern).replace(r"\z", r"\Z").replace("(?<", "(?P<").replace("(?PP<", "(?P<")
     spelled = re.sub(r"\\[pP](\{\^?\w+\}|\w)", r"\\w", spelled)
     try:
         tree = P.parse(spelled)
@@ -128,11 +131,21 @@ def plan(pattern: str) -> Plan:
 
 def to_java(pattern: str) -> str:
     """The same expression for ``rlike``: POSIX classes, named groups and the end of text are spelled otherwise."""
-    out = re.sub(r"\[:(\^?)(\w+):\]", lambda m: rf"\{'P' if m[1] else 'p'}{{{_POSIX[m[2]]}}}", pattern)
+    def spell(m: re.Match) -> str:
+        if m[2] == "word":
+            return r"\W" if m[1] else r"\w"
+        return rf"\{'P' if m[1] else 'p'}{{{_POSIX[m[2]]}}}"
+
+    out = _CLASS.sub(spell, pattern)
     out = out.replace("(?P<", "(?<")
     return "(?d)" + out
 
 
+def to_python(pattern: str) -> str:
+    """The same expression for the ``regex`` package, which knows POSIX classes and named groups; the end of text is spelled otherwise."""
+    return _CLASS.sub(lambda m: (r"\W" if m[1] else r"\w") if m[2] == "word" else m[0], pattern).replace(r"\z", r"\Z")
+
+
 def has_meta(text: str) -> bool:
     return any(c in r"\.+*?()|[]{}^$" for c in text)
 

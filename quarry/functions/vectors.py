@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,3 +59,12 @@ def knn(df: DataFrame, query: Sequence[float], k: int, metric: str = "cosine", i
 
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy("distance", id_col)))
     return ranked.where(F.col("rank") > offset).withColumn("score", score(F.col("distance"), metric))
+
+
+def merge_knn(parts: Sequence[DataFrame], k: int, id_col: str = "id") -> DataFrame:
+    """The lists of several shards ranked again: best score first, then by distance and id."""
+    from pyspark.sql import Window
+
+    order = [F.desc("score"), F.asc("distance"), F.asc(id_col)]
+    top = reduce(DataFrame.unionByName, [p.drop("rank") for p in parts]).orderBy(*order).limit(k)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))

@@ -7,7 +7,7 @@ Over an index, candidates come from the posting table first.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -53,7 +53,23 @@ def candidates(postings: DataFrame, grams: Sequence[int], id_col: str = "doc_id"
         raise ValueError("the query has no trigrams")
     hits = postings.where(F.col("trigram").isin(list(grams)))  # reaches the scan of a table sorted by trigram
     n = len(set(grams))
-    return hits.groupBy(id_col).agg(F.count("*").cast("int").alias("matched")).withColumn("candidate", F.lit(n)).withColumn("score", F.col("matched") / F.col("candidate"))
+    matched = F.size(F.collect_set("trigram"))  # no more than the query's trigrams; a posting that is there twice counts once
+    return hits.groupBy(id_col).agg(matched.alias("matched")).withColumn("candidate", F.lit(n)).withColumn("score", F.col("matched") / F.col("candidate"))
+
+
+def top_candidates(found: DataFrame, limit: int, id_col: str = "doc_id") -> DataFrame:
+    """The ``10 * limit`` candidates that hold most trigrams, ties in order of id: what a search with a limit looks at."""
+    return found.orderBy(F.desc("matched"), id_col).limit(10 * limit)
+
+
+def scoped(postings: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The postings of the documents that a scope leaves."""
+    return postings.join(docs.select(id_col).distinct(), id_col, "left_semi")
+
+
+def posting_lists(postings: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(trigram, doc_ids): the sorted, distinct documents of each trigram. A list is as long as its trigram is common: narrow the postings first."""
+    return postings.groupBy("trigram").agg(F.array_sort(F.collect_set(id_col)).alias("doc_ids"))
 
 
 def scan_candidates(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "content") -> DataFrame:
@@ -91,12 +107,33 @@ def fuzzy_search(df: DataFrame, pattern: str, id_col: str, text_col: str, case_s
 # --------------------------------------------------------------------------- fusion
 
 
-def _first_per_document(hits: DataFrame) -> DataFrame:
+def _ranked(rows: DataFrame, bucket: Column, order: Sequence[Column]) -> DataFrame:
+    """``rows`` with their rank in their backend's list, in two levels: within buckets that follow each other, and over the buckets' totals.
+
+    No task sorts a backend's whole list, only a bucket of it.
+    """
+    cut = rows.withColumn("__b", bucket)
+    totals = cut.groupBy("backend", "__b").agg(F.count("*").alias("__n"))
+    ahead = F.sum("__n").over(Window.partitionBy("backend").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    before = totals.select("backend", "__b", F.coalesce(ahead, F.lit(0)).alias("__before"))
+    inner = cut.withColumn("__in", F.row_number().over(Window.partitionBy("backend", "__b").orderBy(*order)))
+    return inner.join(before, ["backend", "__b"]).withColumn("rank", (F.col("__before") + F.col("__in")).cast("int")).drop("__b", "__before", "__in")
+
+
+def positions(hits: DataFrame, buckets: int = 256) -> DataFrame:
+    """Hits (backend, doc_id, score) with their ``position``: best score first, ties by id. Hits of one score stay in one bucket."""
+    bounds = hits.groupBy("backend").agg(F.percentile_approx("score", [i / buckets for i in range(1, buckets)], 10_000).alias("__q"))
+    near = hits.join(F.broadcast(bounds), "backend")  # a row for each backend
+    above = F.size(F.filter(F.array_distinct("__q"), lambda q: q > F.col("score")))
+    return _ranked(near, above, [F.desc("score"), F.asc("doc_id")]).drop("__q").withColumnRenamed("rank", "position")
+
+
+def _first_per_document(hits: DataFrame, bucket: int = 1 << 20) -> DataFrame:
     """Hits (backend, position, doc_id, score, …) without repeats of a document, ranked again; empty ids keep their place."""
     w = Window.partitionBy("backend", "doc_id").orderBy("position")
     own = F.when(F.coalesce(F.col("doc_id").cast("string"), F.lit("")) == "", F.col("position"))
     first = hits.withColumn("__n", F.row_number().over(w)).where((F.col("__n") == 1) | own.isNotNull()).drop("__n")
-    return first.withColumn("rank", F.row_number().over(Window.partitionBy("backend").orderBy("position")))
+    return _ranked(first, F.floor(F.col("position") / bucket), [F.asc("position")])
 
 
 def _fused(scored: DataFrame) -> DataFrame:
@@ -134,19 +171,25 @@ def weighted_fusion(hits: DataFrame, weights: Mapping[str, float], normalize=min
 
 
 def term_counts(text_col: Column, terms: Sequence[str]) -> list[Column]:
-    return [text.count_disjoint(text_col, t) for t in terms]
+    """How often each term occurs, without overlap: what the text gets shorter by when it is taken out."""
+    empty = F.lit("")
+    return [F.coalesce(((F.length(text_col) - F.length(F.replace(text_col, F.lit(t), empty))) / len(t)).cast("int"), F.lit(0)) if t else F.lit(0) for t in terms]
 
 
-def bm25(docs: DataFrame, terms: Sequence[str], id_col: str = "doc_id", text_col: str = "content", k1: float = K1, b: float = B) -> DataFrame:
+def bm25(docs: DataFrame, terms: Sequence[str], id_col: str = "doc_id", text_col: str = "content", k1: float = K1, b: float = B, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, score) of every document that holds a term; a document's length is its number of lines.
 
-    One pass gathers the corpus statistics (a row of them), another scores;
-    no term is exploded.
+    One pass over the texts makes a narrow row of counts for each document; the
+    corpus statistics (a row of them) and the scores follow from these. ``cut``
+    may keep the narrow rows (as a table or a checkpoint) where reading the
+    texts twice costs more than writing them.
     """
     low = F.lower(F.col(text_col))
-    tf = docs.select(id_col, F.size(text.source_lines(F.col(text_col))).alias("len"), *[c.alias(f"tf{i}") for i, c in enumerate(term_counts(low, terms))])
+    tf = docs.select(id_col, text.line_count(F.col(text_col)).alias("len"), *[c.alias(f"tf{i}") for i, c in enumerate(term_counts(low, terms))])
+    tf = cut(tf) if cut else tf
     stats = tf.agg(F.count("*").alias("N"), F.avg("len").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    both = tf.where(reduce(lambda x, y: x | y, [F.col(f"tf{i}") > 0 for i in range(len(terms))])).crossJoin(F.broadcast(stats))  # one row
+    held = tf.where(reduce(lambda x, y: x | y, [F.col(f"tf{i}") > 0 for i in range(len(terms))]))
+    both = held.crossJoin(F.broadcast(stats))  # one row
     length = F.lit(k1) * (1 - b + b * F.col("len") / F.col("avgdl"))
 
     def part(i: int) -> Column:

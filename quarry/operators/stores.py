@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 import uuid
-from collections.abc import Mapping, Sequence
-from pathlib import Path
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def filters(repository: str = "", branch: str = "", path_prefix: str = "", language: str = "", document: str = "", kinds: Sequence[int] = (), tiers: Sequence[str] = (), metadata: Mapping[str, str] | None = None) -> Column:
@@ -49,6 +48,13 @@ def symbol_rank(query: str, name: Column, container: Column, signature: Column)
     return F.when(n == q, 0).when(n.startswith(q), 1).when(n.contains(q), 2).when(F.lower(container).contains(q), 3).when(F.lower(signature).contains(q), 4).otherwise(5)
 
 
+def shard_symbol_score(query: str, name: Column, container: Column) -> Column:
+    """4 equal, 3 prefix, 2 within the name or its container, else 0: the ranking over several shards."""
+    q = query.lower()
+    n = F.lower(name)
+    return F.when(n == q, 4).when(n.startswith(q), 3).when(n.contains(q) | F.lower(container).contains(q), 2).otherwise(0)
+
+
 def glob_to_regex(pattern: str) -> str | None:
     """The expression of a path glob, in which ``*`` and ``?`` stay within a directory; None for a malformed one."""
     out, i = "", 0
@@ -94,6 +100,12 @@ def latest(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFr
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def union_by_id(parts: Sequence[DataFrame], key: str, *order: Column) -> DataFrame:
+    """The rows of several shards, one for each id: the first in ``order``, any where that leaves a choice."""
+    both = reduce(DataFrame.unionByName, parts)
+    return latest(both, [key], list(order)) if order else both.dropDuplicates([key])
+
+
 def upsert(current: DataFrame, changes: DataFrame, key: str = "doc_id", created: str | None = None) -> DataFrame:
     """``current`` with the rows of ``changes`` in place of those of the same key; the first creation time stays."""
     if created:
@@ -106,6 +118,14 @@ def delete(current: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFram
     return current.join(keys.select(key).distinct(), key, "left_anti").select(*current.columns)
 
 
+DEPENDENCY_ORDER = ("project_id", "workspace_id", "repository", "lockfile_path", "ecosystem", "name", "version", "direct", "dev", "indexed_at")
+
+
+def findings_order(path_col: str = "path") -> list[Column]:
+    """Severity first, then advisory, package, file, line, type, and where they come from."""
+    return [F.desc("severity"), *map(F.asc, ("advisory_id", "package", path_col, "line", "type", "project_id", "workspace_id", "id"))]
+
+
 def status(docs: DataFrame, language: str = "language", size: str = "size") -> DataFrame:
     """(language, files, bytes): totals by language, and of all in the row without one."""
     lang = F.when(F.coalesce(F.col(language), F.lit("")) == "", "unknown").otherwise(F.col(language))
@@ -113,43 +133,154 @@ def status(docs: DataFrame, language: str = "language", size: str = "size") -> D
     return rows.rollup("language").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 
-class Table:
-    """A versioned Parquet table: every write is a new folder, and a pointer file names the current one.
-
-    Readers of an old version aren't disturbed; a failed write leaves the
-    pointer as it was. The pointer is replaced in one step, so the folder has
-    to be on a file system with atomic renames that driver and executors share.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    @property
-    def _pointer(self) -> Path:
-        return Path(self.path, "CURRENT")
+def newer(current: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
+    """The rows of ``changes`` that no row of ``current`` of their key is ahead of in ``order``; a null there is behind all."""
+    old = current.select(F.col(key).alias("__k"), F.col(order).alias("__o")).groupBy("__k").agg(F.max("__o").alias("__o"))
+    held = changes.join(old, changes[key] == F.col("__k"), "left")
+    return held.where(F.col("__o").isNull() | (F.col(order) >= F.col("__o"))).select(*[changes[c] for c in changes.columns])
 
-    def version(self) -> str | None:
-        return json.loads(self._pointer.read_text())["folder"] if self._pointer.exists() else None
 
-    def read(self) -> DataFrame | None:
-        v = self.version()
-        return self.spark.read.parquet(f"{self.path}/{v}") if v else None
+class Table:
+    """A versioned Parquet table in buckets by the hash of its key.
+
+    Every write makes a new folder with the buckets it touches, and a pointer
+    file names the folder of each bucket, so that a small change rewrites
+    little. Readers of an old version aren't disturbed, and a failed write
+    leaves the pointer as it was. The pointer goes through the file system that
+    the path names, and is replaced by one rename, which has to be atomic
+    there. A batch number can be stored with it: what a stream has applied is
+    known from the same file that makes it visible.
+    """
 
-    def write(self, df: DataFrame, partition_by: Sequence[str] = ()) -> None:
+    def __init__(self, spark: SparkSession, path: str, key: str = "doc_id", buckets: int = 16):
+        self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
+
+    # ---- the pointer
+
+    def _hadoop(self, name: str = ""):
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def state(self) -> dict:
+        """``parts``, the folder of every bucket, and ``batch``, the last batch applied (-1 for none)."""
+        path, fs = self._hadoop("CURRENT")
+        if not fs.exists(path):
+            return {"parts": {}, "batch": -1, "exists": False}
+        stream = fs.open(path)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")) | {"exists": True}
+        finally:
+            stream.close()
+
+    def _agree(self, key: str | None) -> dict:
+        """The state, once it is known that ``key`` is the one that the buckets are made by."""
+        state = self.state()
+        if state["exists"]:
+            self.key, self.buckets = state["key"], state["buckets"]
+            if key and key != self.key:
+                raise ValueError(f"the table is kept by {self.key}, not by {key}")
+        elif key:
+            self.key = key
+        return state
+
+    def _point(self, parts: dict[str, str], batch: int) -> None:
+        jvm, (target, fs) = self.spark._jvm, self._hadoop("CURRENT")
+        made, _ = self._hadoop(f".CURRENT-{uuid.uuid4().hex}")
+        out = fs.create(made, True)
+        out.write(bytearray(json.dumps({"parts": parts, "batch": batch, "key": self.key, "buckets": self.buckets}).encode()))
+        out.close()
+        over = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration()).rename(made, target, over)
+
+    # ---- rows
+
+    def _bucket(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(key)), F.lit(self.buckets)).cast("int")
+
+    def _store(self, df: DataFrame, partition_by: Sequence[str] = ()) -> dict[str, str]:
+        """Write the rows to a new folder; the folder of each bucket there is."""
         folder = f"v-{uuid.uuid4().hex}"
-        df.write.partitionBy(*partition_by).parquet(f"{self.path}/{folder}") if partition_by else df.write.parquet(f"{self.path}/{folder}")
-        fd, name = tempfile.mkstemp(dir=self.path)
-        with os.fdopen(fd, "w") as f:
-            json.dump({"folder": folder}, f)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(name, self._pointer)
-
-    def put(self, changes: DataFrame, key: str = "doc_id", created: str | None = None) -> None:
-        now = self.read()
-        self.write(changes if now is None else upsert(now, changes, key, created))
-
-    def remove(self, keys: DataFrame, key: str = "doc_id") -> None:
-        now = self.read()
-        if now is not None:
-            self.write(delete(now, keys, key))
+        rows = df.withColumn("__bucket", self._bucket(self.key))
+        rows.repartition(self.buckets, "__bucket", *partition_by).write.partitionBy("__bucket", *partition_by).parquet(f"{self.path}/{folder}")
+        path, fs = self._hadoop(folder)
+        names = [x.getPath().getName() for x in fs.listStatus(path)]
+        self._schema(folder, df)
+        return {n.removeprefix("__bucket="): f"{folder}/{n}" for n in names if n.startswith("__bucket=")}
+
+    def _schema(self, folder: str, df: DataFrame) -> None:
+        path, fs = self._hadoop("SCHEMA")
+        if not fs.exists(path):
+            out = fs.create(path, True)
+            out.write(bytearray(df.schema.json().encode()))
+            out.close()
+
+    def read(self, only: Sequence[int] | None = None) -> DataFrame | None:
+        """All rows, or those of some buckets; None for a table never written."""
+        state = self.state()
+        if not state["exists"]:
+            return None
+        roots = [f"{self.path}/{f}" for k, f in state["parts"].items() if only is None or int(k) in only]
+        if roots:
+            return self.spark.read.parquet(*roots)
+        path, fs = self._hadoop("SCHEMA")
+        stream = fs.open(path)
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return self.spark.createDataFrame([], StructType.fromJson(json.loads(text)))
+
+    def write(self, df: DataFrame, partition_by: Sequence[str] = (), batch: int = -1) -> None:
+        self._point(self._store(df, partition_by), batch)
+
+    def _rewrite(self, state: dict, touching: DataFrame, change: Callable[[DataFrame], DataFrame], batch: int | None) -> None:
+        """Replace the buckets of the keys in ``touching`` by what ``change`` makes of their rows."""
+        touched = [r[0] for r in touching.select(self._bucket(self.key)).distinct().collect()]  # a row for each bucket at most
+        if touched:
+            made = self._store(change(self.read(touched)))
+            state["parts"] = {k: f for k, f in state["parts"].items() if int(k) not in touched} | made
+        self._point(state["parts"], state["batch"] if batch is None else batch)
+
+    def put(self, changes: DataFrame, key: str | None = None, created: str | None = None, order: str | None = None, removed: DataFrame | None = None, batch: int | None = None) -> None:
+        """Rows of ``changes`` take the place of those of their key, and the keys of ``removed`` go.
+
+        ``created`` names a time that stays that of the first version, ``order``
+        a column in which a change must not be behind the row it replaces.
+        """
+        state = self._agree(key)
+        key = self.key
+        if not state["exists"]:
+            return self.write(changes, batch=-1 if batch is None else batch)
+
+        def change(now: DataFrame) -> DataFrame:
+            rows = newer(now, changes, key, order) if order else changes
+            now = delete(now, removed, key) if removed is not None else now
+            return upsert(now, rows, key, created)
+
+        touching = changes.select(key) if removed is None else changes.select(key).unionByName(removed.select(key))
+        self._rewrite(state, touching, change, batch)
+
+    def put_all_of(self, rows: DataFrame, of: DataFrame, key: str | None = None) -> None:
+        """Replace every row of the keys in ``of`` by those in ``rows``: a table with many rows of a key."""
+        state = self._agree(key)
+        key = self.key
+        if not state["exists"]:
+            return self.write(rows)
+        self._rewrite(state, of.select(key).unionByName(rows.select(key)), lambda now: delete(now, of.select(key), key).unionByName(rows), None)
+
+    def remove(self, keys: DataFrame, key: str | None = None) -> None:
+        state = self._agree(key)
+        key = self.key
+        if state["exists"]:
+            self._rewrite(state, keys.select(key), lambda now: delete(now, keys, key), None)
+
+    def vacuum(self) -> int:
+        """Drop the folders that the pointer doesn't name; returns how many. No reader of an older version may be left."""
+        used = {f.split("/")[0] for f in self.state()["parts"].values()}
+        path, fs = self._hadoop()
+        old = [x.getPath() for x in fs.listStatus(path) if x.getPath().getName().startswith("v-") and x.getPath().getName() not in used]
+        for p in old:
+            fs.delete(p, True)
+        return len(old)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import regex, semver, text
+from quarry.sources import lockfiles
 
 LOW = 1
 SEVERITIES = ("unknown", "low", "medium", "high", "critical")
@@ -33,14 +34,13 @@ def scan_dependencies(deps: DataFrame, advisories: DataFrame, min_severity: int
     entry that holds. Which side is broadcast is left to the sizes Spark sees.
     """
     kept = deps if include_dev else deps.where(~F.coalesce(F.col("dev"), F.lit(False)))
-    entries = advisories.where(F.col("severity") >= min_severity).select(
-        F.col("id").alias("advisory_id"), "severity", "cvss", "title", "description", "fixed_versions", "fix_templates", F.posexplode("affected").alias("__at", "a")
-    )
-    on = (F.col("ecosystem") == F.col("a.ecosystem")) & (F.col("name") == F.col("a.name")) & semver.within(F.col("version"), F.col("a.introduced"), F.col("a.fixed"), F.col("a.last_affected"))
-    row = F.xxhash64(*[F.col(c) for c in kept.columns])
-    hits = kept.join(entries, on).withColumn("__row", row)
-    # two entries of an advisory that hold for one dependency are one finding
-    single = hits.withColumn("__n", F.row_number().over(Window.partitionBy("__row", *kept.columns, "advisory_id").orderBy("__at"))).where("__n = 1")
+    chosen = advisories.where(F.col("severity") >= min_severity).select(F.col("id").alias("advisory_id"), "severity", "cvss", "title", "description", "fixed_versions", "fix_templates", "affected")
+    # an advisory meets a dependency once, by the package that its entries share; of these the first that holds is taken from the array
+    packages = F.array_distinct(F.transform(F.filter("affected", lambda e: e["ecosystem"].isNotNull() & e["name"].isNotNull()), lambda e: F.struct(e["ecosystem"].alias("__ecosystem"), e["name"].alias("__name"))))
+    entries = chosen.select("*", F.inline(packages))
+    mine = F.filter("affected", lambda e: (e["ecosystem"] == F.col("__ecosystem")) & (e["name"] == F.col("__name")) & semver.within(F.col("version"), e["introduced"], e["fixed"], e["last_affected"]))
+    hits = kept.join(entries, (F.col("ecosystem") == F.col("__ecosystem")) & (F.col("name") == F.col("__name")))
+    single = hits.withColumn("a", F.get(mine, F.lit(0))).where("a IS NOT NULL")
     by_name = F.coalesce(F.col("fixed_versions")[F.col("name")], F.lit(""))
     fixed = F.when(F.coalesce(F.col("a.fixed"), F.lit("")) == "", by_name).otherwise(F.col("a.fixed"))
     template = F.get(F.filter("fix_templates", lambda t: (F.coalesce(t["package"], F.lit("")) == "") | (t["package"] == F.col("name"))), F.lit(0))
@@ -51,41 +51,69 @@ def scan_dependencies(deps: DataFrame, advisories: DataFrame, min_severity: int
     )
 
 
-def scan_content(docs: DataFrame, advisories: list[dict], min_severity: int = LOW, id_col: str = "path", text_col: str = "content") -> DataFrame:
-    """(path, advisory_id, severity, type, line, snippet): a row for every place of a pattern or an indicator.
+#: A noncharacter that is put before every match; texts that hold it have it taken for another one.
+_MARK = "\uffff"
 
-    The patterns are the driver's own list: they become one disjunction in the
-    scan, and only documents that hold any are looked at line by line.
-    Substrings count without overlap; a regular expression that doesn't parse
-    and structural patterns are passed over.
-    """
-    tests: list[tuple[str, int, str, str]] = []
+
+def _tests(advisories: list[dict], min_severity: int) -> list[tuple[str, int, str, str, bool]]:
+    """(advisory, severity, type, text, whether it is an expression) of every pattern and indicator that can be tested."""
+    out = []
     for a in advisories:
         if a["severity"] < min_severity:
             continue
         for p in a.get("patterns", ()):
             if p["type"] == "trigram" and p["query"]:
-                tests.append((a["id"], a["severity"], "pattern", "\\Q" + p["query"] + "\\E"))
+                out.append((a["id"], a["severity"], "pattern", p["query"], False))
             elif p["type"] == "regex":
                 try:
                     regex.plan(p["query"])
+                    out.append((a["id"], a["severity"], "pattern", regex.to_java(p["query"]), True))
                 except ValueError:
                     continue
-                tests.append((a["id"], a["severity"], "pattern", regex.to_java(p["query"])))
-        tests += [(a["id"], a["severity"], "ioc", "\\Q" + i["value"] + "\\E") for i in a.get("iocs", ()) if i["value"]]
+        out += [(a["id"], a["severity"], "ioc", i["value"], False) for i in a.get("iocs", ()) if i["value"]]
+    return out
+
+
+def scan_content(docs: DataFrame, advisories: list[dict], min_severity: int = LOW, id_col: str = "path", text_col: str = "content") -> DataFrame:
+    """(path, advisory_id, severity, type, line, snippet): a row for every place of a pattern or an indicator.
+
+    The patterns are the driver's own list: they become one disjunction in the
+    scan, and only documents that hold any are looked at closer. A pattern is
+    matched against the whole text, so that it may run over line ends; its line
+    is that of its first character. Matches count without overlap; a regular
+    expression that doesn't parse and structural patterns are passed over.
+    """
+    tests = _tests(advisories, min_severity)
     content = F.col(text_col)
     if not tests:
         return docs.limit(0).select(F.col(id_col), *[F.lit(None).cast(t).alias(n) for n, t in (("advisory_id", "string"), ("severity", "int"), ("type", "string"), ("line", "int"), ("snippet", "string"))])
+    some = docs.where(reduce(lambda a, b: a | b, [content.rlike(t) if is_regex else content.contains(t) for *_, t, is_regex in tests]))
+    rows = some.select(F.col(id_col), F.translate(content, _MARK, "\ufffe").alias("__t")).withColumn("__l", text.lines(F.col("__t")))
 
-    def hits(advisory: str, severity: int, kind: str, java: str) -> Column:
-        per_line = F.transform(text.lines(content), lambda x, i: F.struct(F.lit(advisory).alias("advisory_id"), F.lit(severity).alias("severity"), F.lit(kind).alias("type"), (i + 1).alias("line"), F.regexp_count(x, F.lit(java)).alias("n")))
-        return F.when(content.rlike(java), F.filter(per_line, lambda h: h["n"] > 0)).otherwise(F.array().cast("array<struct<advisory_id:string,severity:int,type:string,line:int,n:int>>"))
+    def hits(advisory: str, severity: int, kind: str, wanted: str, is_regex: bool) -> Column:
+        """A struct for every line on which matches begin, with their number."""
+        marked = F.regexp_replace("__t", wanted, _MARK + "$0") if is_regex else F.replace("__t", F.lit(wanted), F.lit(_MARK + wanted))
+        begun = F.transform(text.lines(marked), lambda x, i: F.struct(F.lit(advisory).alias("advisory_id"), F.lit(severity).alias("severity"), F.lit(kind).alias("type"), (i + 1).alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(_MARK), F.lit("")))).alias("n")))
+        return F.filter(begun, lambda h: h["n"] > 0)
 
-    found = [hits(*t) for t in tests]
-    some = docs.where(reduce(lambda a, b: a | b, [content.rlike(t[3]) for t in tests]))
-    rows = some.select(F.col(id_col), content.alias("__t"), F.explode(F.flatten(F.array(*found))).alias("h"))
-    rows = rows.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("h.n"))))
-    return rows.select(F.col(id_col), "h.advisory_id", "h.severity", "h.type", "h.line", text.context(F.col("__t"), F.col("h.line"), 2).alias("snippet"))
+    snippet = lambda h: F.array_join(F.slice("__l", F.greatest(h["line"] - 2, F.lit(1)), h["line"] + 2 - F.greatest(h["line"] - 2, F.lit(1)) + 1), "\n")
+    every = F.transform(F.flatten(F.array(*[hits(*t) for t in tests])), lambda h: F.struct(h["advisory_id"].alias("advisory_id"), h["severity"].alias("severity"), h["type"].alias("type"), h["line"].alias("line"), snippet(h).alias("snippet"), F.sequence(F.lit(1), h["n"]).alias("each")))
+    found = rows.select(F.col(id_col), F.inline(every))
+    return found.withColumn("each", F.explode("each")).drop("each")
+
+
+def scan_project(files: DataFrame, advisories: DataFrame, patterns: list[dict], min_severity: int = LOW, include_dev: bool = False) -> DataFrame:
+    """Findings of a whole project (path, content): its lock files' dependencies and its content, one for an advisory, package and file.
+
+    ``advisories`` is the table that dependencies are joined with, ``patterns``
+    the driver's list of the same advisories' content patterns.
+    """
+    columns = ["advisory_id", "severity", "type", "path", "package", "version", "fixed_in", "line", "snippet"]
+    deps = scan_dependencies(lockfiles.dependencies(files), advisories, min_severity, include_dev)
+    deps = deps.select("advisory_id", "severity", "type", "path", F.col("name").alias("package"), "version", "fixed_in", F.lit(0).alias("line"), F.lit("").alias("snippet"))
+    places = scan_content(files, patterns, min_severity)
+    places = places.select("advisory_id", "severity", "type", "path", F.lit("").alias("package"), F.lit("").alias("version"), F.lit("").alias("fixed_in"), "line", "snippet")
+    return deduplicate(deps.unionByName(places), "path", "package").select(*columns)
 
 
 def deduplicate(findings: DataFrame, path_col: str = "path", package_col: str | None = None) -> DataFrame:

@@ -74,7 +74,10 @@ def trigram_candidates(spark, sf):
     return search.scan_candidates(documents(spark, sf), WORD)
 
 
-@_register()
+_HEX = "h AS (SELECT doc_id, regexp_extract_all(hex(encode(content)), '..') AS b FROM files), g AS (SELECT doc_id, unnest(list_distinct(list_filter(list_transform(range(1, len(b) - 1), lambda i: b[i] || b[i + 1] || b[i + 2]), lambda t: t[1:2] NOT IN ('00', '0A') AND t[3:4] NOT IN ('00', '0A') AND t[5:6] NOT IN ('00', '0A')))) AS t FROM h)"
+
+
+@_register(f"WITH {FILES}, {_HEX} SELECT CAST('0x' || t AS INT) AS trigram, count(*) AS documents FROM g GROUP BY t")
 def trigram_document_frequency(spark, sf):
     """Size of every posting list of a full index."""
     return Engine(documents(spark, sf)).index().groupBy("trigram").agg(F.count("*").alias("documents"))
@@ -159,7 +162,7 @@ _HITS_SQL = f"{FILES}, c AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, (length(c
 def _hits(spark, sf):
     d, c = documents(spark, sf), F.col("content")
     both = d.select(F.col("doc_id").cast("string").alias("doc_id"), F.inline(F.array(F.struct(F.lit("lexical").alias("backend"), text.count_disjoint(c, "the").cast("double").alias("score")), F.struct(F.lit("semantic").alias("backend"), text.count_disjoint(c, "on").cast("double").alias("score"))))).where("score > 0")
-    return both.withColumn("position", F.row_number().over(Window.partitionBy("backend").orderBy(F.desc("score"), "doc_id")))
+    return search.positions(both)
 
 
 @_register(f"WITH {_HITS_SQL} SELECT doc_id, round(sum(1.0 / (60.0 + rank)), 9) AS score FROM hits GROUP BY doc_id")
@@ -227,19 +230,22 @@ def index_status(spark, sf):
 
 
 ADVISORIES = [
-    {"id": "ADV-1", "severity": 4, "patterns": [{"type": "trigram", "query": "password"}, {"type": "regex", "query": "[a-z]+[.][a-z]+@[a-z]+[.][a-z]+"}], "iocs": []},
-    {"id": "ADV-2", "severity": 2, "patterns": [{"type": "structural", "query": "x"}, {"type": "regex", "query": "("}], "iocs": [{"value": "AKIA"}, {"value": "license"}]},
+    {"id": "ADV-1", "severity": 4, "patterns": [{"type": "trigram", "query": "password"}, {"type": "regex", "query": "[a-z]+[.][a-z]+@[a-z]+[.][a-z]+"}, {"type": "regex", "query": "ing[.]\\nTh[a-z]+"}], "iocs": []},
+    {"id": "ADV-2", "severity": 2, "patterns": [{"type": "structural", "query": "x"}, {"type": "regex", "query": "("}], "iocs": [{"value": "AKIA"}, {"value": "license"}, {"value": "\\E"}]},
     {"id": "ADV-3", "severity": 0, "patterns": [{"type": "trigram", "query": "the"}], "iocs": []},
 ]
-_TESTS = "tests AS (SELECT * FROM (VALUES ('ADV-1', 4, 'pattern', 'password'), ('ADV-1', 4, 'pattern', '[a-z]+[.][a-z]+@[a-z]+[.][a-z]+'), ('ADV-2', 2, 'ioc', 'AKIA'), ('ADV-2', 2, 'ioc', 'license')) t(advisory_id, severity, type, pattern))"
-_FOUND = f"{FILES}, {LINES}, {_TESTS}, found AS (SELECT doc_id, advisory_id, severity, type, CAST(line AS INT) AS line, unnest(regexp_extract_all(snippet, pattern)) AS hit FROM lines, tests WHERE regexp_matches(snippet, pattern))"
+_TESTS = r"tests AS (SELECT * FROM (VALUES ('ADV-1', 4, 'pattern', 'password', false), ('ADV-1', 4, 'pattern', '[a-z]+[.][a-z]+@[a-z]+[.][a-z]+', true), ('ADV-1', 4, 'pattern', 'ing[.]\nTh[a-z]+', true), ('ADV-2', 2, 'ioc', 'AKIA', false), ('ADV-2', 2, 'ioc', 'license', false), ('ADV-2', 2, 'ioc', '\E', false)) t(advisory_id, severity, type, pattern, rx))"
+#: Every match of the whole text gets a mark; the lines are counted afterwards.
+_MARKED = r"marked AS (SELECT doc_id, path, content, advisory_id, severity, type, string_split(CASE WHEN rx THEN regexp_replace(content, pattern, chr(1) || '\0', 'g') ELSE replace(content, pattern, chr(1) || pattern) END, chr(10)) AS x FROM files, tests WHERE CASE WHEN rx THEN regexp_matches(content, pattern) ELSE contains(content, pattern) END)"
+_FOUND = f"{FILES}, {_TESTS}, {_MARKED}, begun AS (SELECT doc_id, path, content, advisory_id, severity, type, unnest(x) AS marks, generate_subscripts(x, 1) AS line FROM marked), found AS (SELECT doc_id, path, content, advisory_id, severity, type, CAST(line AS INT) AS line, unnest(range(length(marks) - length(replace(marks, chr(1), '')))) AS hit FROM begun WHERE contains(marks, chr(1)))"
+_SNIPPET = "array_to_string(list_slice(string_split({0}content, chr(10)), greatest({0}line - 2, 1), {0}line + 2), chr(10))"
 
 
 def _findings(spark, sf):
     return vulnerabilities.scan_content(documents(spark, sf), ADVISORIES, id_col="doc_id")
 
 
-@_register(f"WITH {_FOUND} SELECT f.doc_id, advisory_id, severity, type, f.line, array_to_string(list_slice(string_split(d.content, chr(10)), greatest(f.line - 2, 1), f.line + 2), chr(10)) AS snippet FROM found f JOIN files d ON d.doc_id = f.doc_id")
+@_register(f"WITH {_FOUND} SELECT doc_id, advisory_id, severity, type, line, {_SNIPPET.format('')} AS snippet FROM found")
 def pattern_scan(spark, sf):
     return _findings(spark, sf)
 
@@ -329,37 +335,100 @@ def line_pick(spark, sf):
     return documents(spark, sf).select("doc_id", text.first_nonempty_line(c).alias("first_line"), text.line_at(c, 2).alias("second_line"))
 
 
-@_register()
+FUZZY = "alrd"
+
+
+def _fuzzy_sql(greedy: bool) -> str:
+    """The alignment's recurrence, a column of the text at a time, with a set of state columns for each pattern character."""
+    n = len(FUZZY)
+    white = "chr(9), chr(10), chr(11), chr(12), chr(13), ' '"
+    kind = f"CASE WHEN c IN ({white}) THEN 0 WHEN c IN ('/', ',', ':', ';', '|') THEN 2 WHEN c BETWEEN 'a' AND 'z' THEN 3 WHEN c BETWEEN 'A' AND 'Z' THEN 4 WHEN c BETWEEN '0' AND '9' THEN 6 ELSE 1 END"
+    bonus = "CASE WHEN k[j] >= 2 AND coalesce(k[j - 1], 0) = 0 THEN 10 WHEN k[j] >= 2 AND k[j - 1] = 2 THEN 9 WHEN k[j] >= 2 AND k[j - 1] = 1 THEN 8 WHEN (k[j - 1] = 3 AND k[j] = 4) OR (k[j - 1] <> 6 AND k[j] = 6) THEN 7 WHEN k[j] = 1 OR k[j] = 2 THEN 8 WHEN k[j] = 0 THEN 10 ELSE 0 END"
+    firsts, at = [], "0"
+    for i, c in enumerate(FUZZY):
+        find = f"(CASE WHEN instr(substring(t, {at} + 1), '{c}') > 0 THEN {at} + instr(substring(t, {at} + 1), '{c}') ELSE NULL END)"
+        firsts.append((f"f{i}", find))
+        at = f"f{i}"
+    ctes = [f"w0 AS (SELECT p_partkey, p_name, lower(p_name) AS t, list_transform(string_split(p_name, ''), lambda c: {kind}) AS k FROM part)"]
+    for i, (name, find) in enumerate(firsts):
+        ctes.append(f"w{i + 1} AS (SELECT *, CAST({find} AS INT) AS {name} FROM w{i})")
+    ctes.append(f"w AS (SELECT *, list_transform(range(1, length(t) + 1), lambda j: {bonus}) AS b, CAST(length(t) + 1 - instr(reverse(t), '{FUZZY[-1]}') AS INT) AS hi FROM w{n} WHERE f{n - 1} IS NOT NULL)")
+    if greedy:
+        back, at = [], f"f{n - 1} + 1"
+        for i in reversed(range(n)):  # the last place of each character before the one that follows it
+            back.append(f"s{i}")
+            ctes.append(f"v{i} AS (SELECT *, CAST({at} - instr(reverse(substring(t, 1, {at} - 1)), '{FUZZY[i]}') AS INT) AS s{i} FROM {'w' if i == n - 1 else f'v{i + 1}'})")
+            at = f"s{i}"
+        hit = f"q < {n} AND substring(t, j, 1) = substring('{FUZZY}', q + 1, 1)"
+        lead = "CASE WHEN run = 0 THEN b[j] WHEN b[j] >= 8 AND b[j] > lead THEN b[j] ELSE lead END"
+        gain = f"CASE WHEN run = 0 THEN b[j] ELSE greatest(b[j], 4, {lead}) END"
+        ctes.append(f"walk AS (SELECT p_partkey, p_name, t, b, s0, f{n - 1} AS stop, s0 AS j, 0 AS q, 0 AS run, 0 AS lead, false AS gap, 0 AS score FROM v0 UNION ALL SELECT p_partkey, p_name, t, b, s0, stop, j + 1, CASE WHEN {hit} THEN q + 1 ELSE q END, CASE WHEN {hit} THEN run + 1 ELSE 0 END, CASE WHEN {hit} THEN {lead} ELSE 0 END, NOT ({hit}), score + CASE WHEN {hit} THEN 16 + ({gain}) * CASE WHEN q = 0 THEN 2 ELSE 1 END WHEN gap THEN -1 ELSE -3 END FROM walk WHERE j <= stop)")
+        return "WITH RECURSIVE " + ", ".join(ctes) + ' SELECT p_partkey, p_name, s0 - 1 AS "start", stop AS "end", score FROM walk WHERE j = stop + 1'
+    state, step = [], []
+    for i, c in enumerate(FUZZY):
+        hit, live = f"substring(t, j, 1) = '{c}'", f"j >= f{i}"
+        skip = f"CASE WHEN j = f0 THEN 0 WHEN g{i} THEN h{i} - 1 ELSE h{i} - 3 END"
+        if i == 0:
+            h, r, g = f"CASE WHEN {hit} THEN 16 + 2 * b[j] ELSE greatest({skip}, 0) END", f"CASE WHEN {hit} THEN 1 ELSE 0 END", f"NOT ({hit})"
+        else:
+            length, head = f"(r{i - 1} + 1)", f"b[j - r{i - 1}]"
+            fresh = f"({length} > 1 AND b[j] >= 8 AND b[j] > {head})"
+            lead = f"CASE WHEN {length} > 1 AND NOT {fresh} THEN greatest(b[j], 4, {head}) ELSE b[j] END"
+            base = f"(h{i - 1} + 16)"
+            lost = f"({base} + {lead} < {skip})"
+            take = f"CASE WHEN NOT ({hit}) OR j = f0 THEN 0 WHEN {lost} THEN {base} + b[j] ELSE {base} + {lead} END"
+            h, r, g = f"greatest({take}, {skip}, 0)", f"CASE WHEN NOT ({hit}) OR j = f0 OR {lost} THEN 0 WHEN {fresh} THEN 1 ELSE {length} END", f"{take} < {skip}"
+        state += [f"0 AS h{i}", f"0 AS r{i}", f"false AS g{i}"]
+        step += [f"CASE WHEN {live} THEN {h} ELSE 0 END", f"CASE WHEN {live} THEN {r} ELSE 0 END", f"CASE WHEN {live} THEN {g} ELSE g{i} END"]
+    own = "p_partkey, p_name, t, b, hi, " + ", ".join(f"f{i}" for i in range(n))
+    ctes.append(f"dp AS (SELECT {own}, f0 AS j, {', '.join(state)} FROM w UNION ALL SELECT {own}, j + 1, {', '.join(step)} FROM dp WHERE j <= hi)")
+    return "WITH RECURSIVE " + ", ".join(ctes) + f', best AS (SELECT p_partkey, p_name, max(h{n - 1}) AS score, CAST(arg_max(j, (h{n - 1}, -j)) - 1 AS INT) AS "end" FROM dp GROUP BY p_partkey, p_name) SELECT p_partkey, p_name, "end", score FROM best WHERE score > 0'
+
+
+@_register(_fuzzy_sql(False))
 def fuzzy_v2(spark, sf):
-    return search.fuzzy_search(_read(spark, sf, "part"), "alrd", "p_partkey", "p_name")
+    return search.fuzzy_search(_read(spark, sf, "part"), FUZZY, "p_partkey", "p_name").select("p_partkey", "p_name", "end", "score")
 
 
-@_register()
+@_register(_fuzzy_sql(True))
 def fuzzy_v1(spark, sf):
-    return search.fuzzy_search(_read(spark, sf, "part"), "alrd", "p_partkey", "p_name", greedy=True)
+    return search.fuzzy_search(_read(spark, sf, "part"), FUZZY, "p_partkey", "p_name", greedy=True).drop("positions")
+
 
+_EMBED = "tok AS (SELECT doc_id, unnest(CASE WHEN len(regexp_extract_all(lower(content), '[a-z0-9_-]+')) > 0 THEN regexp_extract_all(lower(content), '[a-z0-9_-]+') WHEN trim(content) = '' THEN [] ELSE [trim(lower(content))] END) AS t FROM files), cnt AS (SELECT doc_id, t, sha1(t) AS h, count(*) AS n FROM tok GROUP BY doc_id, t), cell AS (SELECT doc_id, CAST('0x' || h[1:2] AS INT) % 64 AS place, sum(n * CASE WHEN CAST('0x' || h[3:4] AS INT) % 2 = 1 THEN -1 ELSE 1 END * greatest(strlen(t) / 8.0, 0.5)) AS v FROM cnt GROUP BY doc_id, place), m AS (SELECT doc_id, map_from_entries(list({{'k': place, 'v': v}})) AS m, sqrt(sum(v * v)) AS norm FROM cell GROUP BY doc_id), emb AS (SELECT f.doc_id, list_transform(range(0, 64), lambda i: CASE WHEN coalesce(norm, 0) = 0 THEN 0.0 ELSE coalesce(m[CAST(i AS INT)], 0.0) / norm END) AS v FROM files f LEFT JOIN m ON f.doc_id = m.doc_id)"
 
-@_register()
+
+@_register(f"WITH {FILES}, {_EMBED.replace('{{', '{').replace('}}', '}')} SELECT doc_id, CAST(i AS INT) AS place, round(v[i + 1], 9) AS value FROM emb, range(0, 64) r(i) WHERE round(v[i + 1], 9) <> 0")
 def hash_embed(spark, sf):
-    return documents(spark, sf).select("doc_id", text.hash_embedding(F.col("content")).alias("values"))
+    v = documents(spark, sf).select("doc_id", F.posexplode(text.hash_embedding(F.col("content"))).alias("place", "value"))
+    return v.select("doc_id", "place", F.round("value", 9).alias("value")).where("value <> 0")
+
 
+_FUNCTIONS = "src AS (SELECT doc_id, list_transform(string_split(CASE WHEN content LIKE '%' || chr(10) THEN content[1:-2] ELSE content END, chr(10)), lambda x, i: CASE WHEN i % 5 = 4 THEN 'def f' || CAST(i - 1 AS VARCHAR) || '(): ' || x ELSE x END) AS x FROM files WHERE content NOT IN ('', chr(10)))"
 
-@_register()
+
+@_register(f"WITH {FILES}, {_FUNCTIONS}, b AS (SELECT doc_id, x, list_concat(CASE WHEN len(x) > 0 AND NOT starts_with(x[1], 'def') THEN [1] ELSE [] END, list_filter(range(1, len(x) + 1), lambda i: i % 5 = 4)) AS s FROM src), c AS (SELECT doc_id, x, unnest(s) AS a, unnest(list_concat(s[2:], [len(x) + 1])) - 1 AS e FROM b) SELECT doc_id, CAST(a AS INT) AS start_line, CAST(e AS INT) AS end_line, array_to_string(x[a:e], chr(10)) AS chunk FROM c WHERE regexp_matches(array_to_string(x[a:e], chr(10)), '[^\\s]')")
 def chunk_function(spark, sf):
-    return text.chunk_functions(documents(spark, sf).select("doc_id", "content"), "content").drop("content")
+    """Texts whose every fifth line is made the head of a function."""
+    lines = F.transform(text.source_lines(F.col("content")), lambda x, i: F.when(i % 5 == 3, F.concat(F.lit("def f"), i.cast("string"), F.lit("(): "), x)).otherwise(x))
+    docs = documents(spark, sf).where(~F.col("content").isin("", "\n")).select("doc_id", F.array_join(lines, "\n").alias("content"))
+    return text.chunk_functions(docs, "content").drop("content")
+
+
+_ASK = text.embed_text(WORD + " and the")
+_ASKS = "[" + ", ".join(f"{x!r}::DOUBLE" for x in _ASK) + "]"
+_BOTH = f"lex AS (SELECT doc_id, 1.0 AS score FROM files WHERE contains(content, '{WORD}') ORDER BY doc_id LIMIT 20), sem AS (SELECT doc_id, round(list_sum(list_transform(range(1, 65), lambda i: v[i] * ({_ASKS})[i])) / CASE WHEN list_sum(list_transform(v, lambda x: x * x)) = 0 THEN 1 ELSE sqrt(list_sum(list_transform(v, lambda x: x * x))) END, 12) AS score FROM emb ORDER BY score DESC, doc_id LIMIT 20), ranked AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM lex UNION ALL SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) FROM sem)"
 
 
-@_register()
+@_register(f"WITH {FILES}, {_EMBED.replace('{{', '{').replace('}}', '}')}, {_BOTH} SELECT doc_id, round(sum(1.0 / (60 + r)), 9) AS score FROM ranked GROUP BY doc_id ORDER BY sum(1.0 / (60 + r)) DESC, doc_id LIMIT 20")
 def engine_hybrid(spark, sf):
     """Both backends over the whole table, fused; the limit is the search's own."""
     docs = documents(spark, sf)
     vec = docs.select("doc_id", text.hash_embedding(F.col("content")).alias("values"))
-    from quarry.functions.text import embed_text
+    return Engine(docs, embeddings=vec, embed=lambda q: text.embed_text(q + " and the")).search(WORD, limit=20).select("doc_id", F.round("score", 9).alias("score"))
 
-    return Engine(docs, embeddings=vec, embed=embed_text).search("the|and", limit=20)
 
-
-@_register()
+@_register("WITH n AS (SELECT count(*) AS d FROM documents) SELECT type, label, n FROM (SELECT 'vertex' AS type, 'metaData' AS label, 1 AS n UNION ALL SELECT 'vertex', 'project', 1 UNION ALL SELECT 'vertex', 'document', d FROM n UNION ALL SELECT 'vertex', 'range', 3 * d FROM n UNION ALL SELECT 'vertex', 'definitionResult', 3 * d FROM n UNION ALL SELECT 'edge', 'contains', 4 * d FROM n UNION ALL SELECT 'edge', 'textDocument/definition', 3 * d FROM n UNION ALL SELECT 'edge', 'item', 3 * d FROM n)")
 def symbol_graph(spark, sf):
     """Index graph of the DDL that the table names of the corpus make, one statement a document."""
     src = F.concat(F.lit("-- "), F.col("source"), F.lit("\nCREATE TABLE s."), F.col("source"), F.lit("_"), F.col("doc_id").cast("string"), F.lit(" (id int, body text, PRIMARY KEY (id));"))
@@ -368,8 +437,11 @@ def symbol_graph(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from quarry.plans import projects  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)

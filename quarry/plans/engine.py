@@ -1,10 +1,10 @@
-"""The search engine over a document table: indexing, search in all modes, symbols and status."""
+"""The search engine over a document table: search in all modes, symbols and status; and the folder that keeps it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import cel, regex, text, vectors
@@ -21,14 +21,15 @@ class Engine:
     are possible over ``embeddings`` (doc_id, values).
     """
 
-    def __init__(self, docs: DataFrame, postings: DataFrame | None = None, embeddings: DataFrame | None = None, embed: Callable[[str], Sequence[float]] | None = None):
-        self.docs, self.postings, self.embeddings, self.embed = docs, postings, embeddings, embed
+    def __init__(self, docs: DataFrame, postings: DataFrame | None = None, embeddings: DataFrame | None = None, embed: Callable[[str], Sequence[float]] | None = None, known_symbols: DataFrame | None = None):
+        self.docs, self.postings, self.embeddings, self.embed, self.known_symbols = docs, postings, embeddings, embed, known_symbols
 
     def search(self, query: str, mode: str = "", limit: int = DEFAULT_LIMIT, where: Column | None = None, filter: str = "", filter_first: bool = False) -> DataFrame:
-        """(doc_id, path, language, line, snippet, score), best first.
+        """(doc_id, path, language, line, snippet, matches, score), best first.
 
-        ``filter`` is applied to the hits found, so there may be fewer than
-        ``limit``; with ``filter_first`` it narrows the documents instead.
+        ``matches`` are the byte ranges within the snippet. ``filter`` is
+        applied to the hits found, so there may be fewer than ``limit``; with
+        ``filter_first`` it narrows the documents instead.
         """
         docs = self.docs if where is None else self.docs.where(where)
         condition = cel.compile_filter(filter, cel.RESULT, self._variables())
@@ -39,7 +40,7 @@ class Engine:
         out = hits.join(docs, "doc_id")
         if filter and not filter_first:
             out = out.where(condition)
-        return out.select("doc_id", "path", "language", "line", "snippet", "score").orderBy(F.desc("score"), "doc_id")
+        return out.select("doc_id", "path", "language", "line", "snippet", "matches", "score").orderBy(F.desc("score"), "doc_id")
 
     def _variables(self) -> dict[str, Column]:
         path = F.col("path")
@@ -49,27 +50,36 @@ class Engine:
         return {k: F.col(k) if k in own else known.get(k, empty[kind]) for k, kind in cel.RESULT.items()}
 
     def _lexical(self, docs: DataFrame, query: str, limit: int) -> DataFrame:
+        """Documents that the expression matches, or, if none does or it has no required trigram, those that hold it as it stands.
+
+        A hit's score is the share of the query's trigrams that it holds.
+        """
         p = regex.plan(query)
         if not p.trigrams:
             return self._substring(docs, query, limit)
-        among = docs
         if self.postings is not None:
-            matched = search.candidates(self.postings, p.codes).where(F.col("matched") == F.col("candidate")).select("doc_id")
-            among = docs.join(matched, "doc_id", "left_semi")
-        hits = search.lexical(among, query).withColumn("score", F.lit(1.0))
-        return hits.orderBy(F.desc("score"), "doc_id").limit(limit).drop("n_lines")
+            matched = search.candidates(self.postings, p.codes).where(F.col("matched") == F.col("candidate")).select("doc_id", F.col("score").alias("__score"))
+            hits = search.lexical(docs.join(matched, "doc_id", "left_semi"), query).join(matched, "doc_id").withColumnRenamed("__score", "score")
+        else:
+            hits = search.lexical(docs, query).withColumn("score", F.lit(1.0))  # a match holds all required trigrams
+        top = hits.orderBy(F.desc("score"), "doc_id").limit(limit).drop("n_lines")
+        if top.isEmpty():
+            return self._substring(docs, query, limit)
+        return top.withColumn("matches", text.match_ranges(F.col("snippet"), query))
 
     def _substring(self, docs: DataFrame, query: str, limit: int) -> DataFrame:
-        """Patterns without a required trigram are looked for as they stand, case aside."""
+        """The first documents by rank, path and id that hold the query as it stands in a line, case aside."""
         q = query.lower()
-        found = search.contains_any(docs, query, ["content"]).withColumn("__h", F.filter(text.numbered(F.col("content")), lambda x: F.lower(x["snippet"]).contains(q))).where(F.size("__h") > 0)
-        return found.select("doc_id", F.col("__h")[0]["line"].alias("line"), F.col("__h")[0]["snippet"].alias("snippet"), F.lit(1.0).alias("score")).orderBy("doc_id").limit(limit)
+        ranked = docs.withColumn("__rank", stores.document_rank(query, F.col("path"), F.col("content"))).where("__rank < 3").orderBy("__rank", "path", "doc_id").limit(limit)
+        found = ranked.withColumn("__h", F.filter(text.numbered(F.col("content")), lambda x: F.lower(x["snippet"]).contains(q))).where(F.size("__h") > 0)
+        first = found.select("doc_id", F.col("__h")[0]["line"].alias("line"), F.col("__h")[0]["snippet"].alias("snippet"))
+        return first.select("doc_id", "line", "snippet", F.lit(1.0).alias("score"), text.first_range(F.col("snippet"), query).alias("matches"))
 
     def _semantic(self, docs: DataFrame, query: str, limit: int) -> DataFrame:
         if self.embed is None or self.embeddings is None:
             raise ValueError("semantic search needs embeddings and a way to embed the query")
         near = vectors.knn(self.embeddings.join(docs.select("doc_id"), "doc_id", "left_semi"), self.embed(query), limit, "cosine", "doc_id")
-        return near.join(docs, "doc_id").select("doc_id", F.lit(1).alias("line"), text.first_nonempty_line(F.col("content")).alias("snippet"), "score")
+        return near.join(docs, "doc_id").select("doc_id", F.lit(1).alias("line"), text.first_nonempty_line(F.col("content")).alias("snippet"), "score", F.array().cast(text.RANGES).alias("matches"))
 
     def _hybrid(self, docs: DataFrame, query: str, limit: int) -> DataFrame:
         lists = {"lexical": self._lexical(docs, query, limit), "semantic": self._semantic(docs, query, limit)}
@@ -77,8 +87,8 @@ class Engine:
         both = lists["lexical"].withColumn("backend", F.lit("lexical")).unionByName(lists["semantic"].withColumn("backend", F.lit("semantic")))
         ranked = both.withColumn("position", F.row_number().over(w))  # two lists of at most ``limit`` rows
         fused = search.reciprocal_rank_fusion(ranked)
-        shown = both.groupBy("doc_id").agg(F.min_by(F.struct("line", "snippet"), "backend").alias("h"))
-        return fused.join(shown, "doc_id").select("doc_id", "h.line", "h.snippet", "score").orderBy(F.desc("score"), "doc_id").limit(limit)
+        shown = both.groupBy("doc_id").agg(F.min_by(F.struct("line", "snippet", "matches"), "backend").alias("h"))
+        return fused.join(shown, "doc_id").select("doc_id", "h.line", "h.snippet", "h.matches", "score").orderBy(F.desc("score"), "doc_id").limit(limit)
 
     def request(self, query: str, mode: str = "", limit: int = DEFAULT_LIMIT, names: DataFrame | None = None) -> DataFrame:
         """A query whose mode follows from its spelling: regex, symbol, fuzzy or exact; every matching place is a row."""
@@ -94,7 +104,7 @@ class Engine:
         return search.fuzzy_search(names, query, "path", "name").orderBy(F.desc("score"), "path", "name").limit(limit)
 
     def symbols(self) -> DataFrame:
-        return symbols.extract_symbols(self.docs)
+        return symbols.extract_symbols(self.docs) if self.known_symbols is None else self.known_symbols
 
     def index(self) -> DataFrame:
         """The trigram postings, to be written sorted by trigram."""
@@ -102,3 +112,49 @@ class Engine:
 
     def status(self) -> DataFrame:
         return stores.status(self.docs.withColumn("size", F.octet_length("content")))
+
+    def symbol_search(self, query: str, references: DataFrame | None = None, limit: int = DEFAULT_LIMIT, by_shard: bool = False) -> DataFrame:
+        """Symbols by rank, name and place, with their first line as snippet and the number of their references.
+
+        A symbol whose document is gone keeps its row without a snippet.
+        ``references`` has (path, name) of each use, under the definition's
+        path. ``by_shard`` ranks as a search over several shards does.
+        """
+        found = self.symbols()
+        rank = stores.shard_symbol_score(query, F.col("name"), F.col("container")) if by_shard else stores.symbol_rank(query, F.col("name"), F.col("container"), F.lit(""))
+        found = found.withColumn("rank", rank).where(F.col("rank") > 0 if by_shard else F.col("rank") < 5)
+        top = found.orderBy(F.desc("rank") if by_shard else F.col("rank"), "name", "path", "start_line").limit(limit)
+        return symbols.with_snippets(top if references is None else symbols.with_references(top, references), self.docs)
+
+
+class Store:
+    """What an engine keeps in a folder: documents, postings, symbols and embeddings, each a :class:`stores.Table`."""
+
+    def __init__(self, spark: SparkSession, folder: str, embed: Callable[[str], Sequence[float]] | None = None, dimensions: int = 64, buckets: int = 16):
+        self.spark, self.embed, self.dimensions = spark, embed, dimensions
+        self.tables = {n: stores.Table(spark, f"{folder.rstrip('/')}/{n}", "doc_id", buckets) for n in ("documents", "postings", "symbols", "embeddings")}
+
+    def index(self, changes: DataFrame, created: str | None = None) -> None:
+        """Add or replace documents, and everything derived from them: nothing of an older version stays in any table."""
+        ids = changes.select("doc_id")
+        self.tables["documents"].put(changes, created=created)
+        self.tables["postings"].put_all_of(text.trigram_postings(changes, "doc_id", "content"), ids)
+        self.tables["symbols"].put_all_of(_symbols_of(changes), ids)
+        if self.embed is not None:
+            self.tables["embeddings"].put_all_of(changes.select("doc_id", text.hash_embedding(F.col("content"), self.dimensions).alias("values")), ids)
+
+    def remove(self, ids: DataFrame) -> None:
+        for t in self.tables.values():
+            t.remove(ids)
+
+    def engine(self) -> Engine:
+        """The engine over the tables as they are now."""
+        found = {n: t.read() for n, t in self.tables.items()}
+        if found["documents"] is None:
+            raise ValueError("nothing is indexed yet")
+        return Engine(found["documents"], found["postings"], found["embeddings"] if self.embed else None, self.embed, found["symbols"])
+
+
+def _symbols_of(docs: DataFrame) -> DataFrame:
+    """Symbols with the id of their document."""
+    return symbols.extract_symbols(docs, carry="doc_id")

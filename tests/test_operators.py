@@ -68,7 +68,7 @@ def test_symbols(path):
     assert {(s["name"], s["kind"]) for s in symbols.extract(path, src)} == want
 
 
-def test_symbol_table_and_graph(spark):
+def test_symbol_table_and_graph(spark, tmp_path):
     df = spark.createDataFrame([(p, s) for p, (s, _) in SOURCES.items()] + [("n.py", None)], "path string, content string")
     found = symbols.extract_symbols(df)
     assert found.count() == sum(len(w) for _, w in SOURCES.values())
@@ -76,7 +76,17 @@ def test_symbol_table_and_graph(spark):
     assert {r.name for r in symbols.search(found, path_glob="*.rs", exported=True).collect()} == {"S", "a", "T", "t", "top"}
     assert symbols.search(found, path_glob="[").count() == 0
     stats = {r.label: r.n for r in symbols.graph_stats(symbols.index_graph(found)).collect()}
-    assert stats["document"] == 7 and stats["range"] == stats["next"] == stats["contains"]
+    assert stats["document"] == 7 and stats["metaData"] == stats["project"] == 1
+    assert stats["range"] == stats["definitionResult"] == stats["textDocument/definition"] == stats["item"] == stats["contains"] - 7
+    uses = spark.createDataFrame([("x.go", "S", 9, 3, "a.go", 3, 6), ("x.go", "S", 12, 1, "a.go", 3, 6)], "path string, name string, start_line int, start_column int, def_path string, def_line int, def_column int")
+    graph = symbols.index_graph(found, uses)
+    more = {r.label: r.n for r in symbols.graph_stats(graph).collect()}
+    assert more["range"] == stats["range"] + 2 and more["referenceResult"] == more["textDocument/references"] == 1 and more["item"] == stats["item"] + 2
+    symbols.write_graph(graph, str(tmp_path / "g"))
+    ids = {json.loads(r.value)["id"] for r in spark.read.text(str(tmp_path / "g" / "0-vertex")).collect()}
+    edges = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "g" / "1-edge")).collect()]
+    dangling = [e for e in edges if not {e["outV"], *e["inVs"]} <= ids]
+    assert len(dangling) == 2 and all(e["label"] == "contains" for e in dangling)  # x.go isn't among the documents
 
 
 def test_patches(spark):
