@@ -1,25 +1,30 @@
 """Quality classifier on random-indexing word vectors.
 
 Tokens are runs of letters and digits or runs of other visible characters,
-lower-cased and hashed to ``SLOTS`` slots. Every slot has two sparse ternary
-index vectors. A pass over the whole corpus adds to each slot the context
-index vectors of the tokens up to ``WINDOW`` places away, and counts the texts
-that hold it. A word vector is the slot's own index vector beside its
-normalised context sum; a text is pooled as the sum of its tokens' vectors,
-weighted by inverse document frequency, with little weight for slots too rare
-to have a reliable vector, and scaled to unit weight. A two-layer numpy network gives logits for quality
-and toxicity, whose probabilities are calibrated by a temperature each, fitted
-on held-out rows.
+lower-cased. A word's vector has two parts. The index part is the sum of sparse
+ternary index vectors: the word's own and those of its prefixes of ``PREFIXES``
+bytes, so that words of one stem lie near each other; they follow from the
+hashes, for any number of words. The context part comes from a pass over the
+whole corpus, which adds to each of ``CONTEXT_SLOTS`` slots the index vectors of
+the tokens up to ``WINDOW`` places away. The same pass counts the texts that
+hold each word and prefix, in ``SLOTS`` slots. A text is pooled as the sum of its
+tokens' vectors, weighted by inverse document frequency, with little weight for
+those too rare to have a reliable vector, and scaled to unit weight. A two-layer
+numpy network gives logits for quality and toxicity, whose probabilities are
+calibrated by a temperature each, fitted on held-out rows.
 
 Cases
 -----
 * Null texts and texts without a token: probabilities are null, not kept.
 * Labels that are null train nothing; an id with several label rows trains
-  with the first by value; a text's repeats are scored each.
+  with the first by value; repeated rows of a text are scored each.
 * The labelled sample is bounded by ``max_train`` rows, those with the
   smallest id hash; corpus statistics cover all rows.
 * Without labels of both kinds a head gives the share of its positive labels
-  (1/2 without any).
+  (1/2 without any). A probability of exactly ``min_quality`` or ``max_toxic``
+  is kept.
+* Texts of any length are read whole. An empty table gives an empty result.
+  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,40 +40,46 @@ from pyspark.sql import functions as F
 
 from quarry.llm import common as C
 
-SLOTS = 1 << 14
+SLOTS = 1 << 18
+CONTEXT_SLOTS = 1 << 14
 CONTEXT_DIM = 32
 OWN_DIM = 8192
 NONZERO = 8
+PREFIXES = (4, 6)
 WINDOW = 2
 HIDDEN = 32
 MAX_TRAIN = 6000
 EPOCHS = 60
 BATCH = 256
 RARE = 5e-3
+_ROWS = 256
 
-
-def index_vectors(dim: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sparse ternary vectors: the places and the signs of each slot's ``NONZERO`` entries."""
-    rng = np.random.default_rng(seed)
-    place = np.sort(rng.integers(0, dim // NONZERO, (SLOTS, NONZERO)) + np.arange(NONZERO) * (dim // NONZERO), axis=1)
-    return place, rng.choice(np.array([-1, 1], np.int8), (SLOTS, NONZERO))
+_CLASS = np.where(C._WORD, 1, 2).astype(np.uint8)
+_CLASS[:33] = 0
+_CLASS[127] = 0
 
 
-def dense(place: np.ndarray, sign: np.ndarray, dim: int) -> np.ndarray:
-    out = np.zeros((len(place), dim), np.int8)
-    np.put_along_axis(out, place, sign, axis=1)
+def context_index(seed: int = 1) -> np.ndarray:
+    """Sparse ternary vectors of the context slots."""
+    rng = np.random.default_rng(seed)
+    width = CONTEXT_DIM // NONZERO
+    place = np.sort(rng.integers(0, width, (CONTEXT_SLOTS, NONZERO)) + np.arange(NONZERO) * width, axis=1)
+    out = np.zeros((CONTEXT_SLOTS, CONTEXT_DIM), np.int16)
+    np.put_along_axis(out, place, rng.choice(np.array([-1, 1], np.int16), (CONTEXT_SLOTS, NONZERO)), axis=1)
     return out
 
 
-_CLASS = np.where(C._WORD, 1, 2).astype(np.uint8)
-_CLASS[:33] = 0
-_CLASS[127] = 0
+def own_index(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the ``NONZERO`` entries of each feature's index vector."""
+    g = C.mix(hashes[:, None] + np.arange(1, NONZERO + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return (g % np.uint64(OWN_DIM)).astype(np.int64), np.where(g >> np.uint64(63), np.float32(1), np.float32(-1))
 
 
-def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slot and row of every token, in order."""
+def features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and row of every token, in order, and of every prefix of one."""
     if not len(buf):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        z, h = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return h, z, h, z
     kind = _CLASS[buf]
     edge = np.zeros(len(buf) + 1, bool)
     edge[offs] = True
@@ -78,8 +89,14 @@ def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = at[:-1], at[1:]
     ok = kind[starts] > 0
     starts, ends = starts[ok], ends[ok]
-    slots = (C.span_hashes(buf, starts, ends) >> np.uint64(64 - 14)).astype(np.int64)
-    return slots, np.searchsorted(offs, starts, "right") - 1
+    row = np.searchsorted(offs, starts, "right") - 1
+    longer = [ends - starts > n for n in PREFIXES]
+    heads = [C.mix(C.span_hashes(buf, starts[k], starts[k] + n) + np.uint64(n)) for n, k in zip(PREFIXES, longer)]
+    return C.span_hashes(buf, starts, ends), row, np.concatenate(heads), np.concatenate([row[k] for k in longer])
+
+
+def _slot(hashes: np.ndarray, slots: int) -> np.ndarray:
+    return (hashes >> np.uint64(65 - slots.bit_length())).astype(np.int64)
 
 
 def _chunks(arr: pa.Array):
@@ -90,39 +107,39 @@ def _chunks(arr: pa.Array):
 class Vectors:
     """What the corpus pass gathers."""
 
-    context: np.ndarray  # (SLOTS, CONTEXT_DIM) sums
-    df: np.ndarray
+    context: np.ndarray  # (CONTEXT_SLOTS, CONTEXT_DIM) sums
+    df: np.ndarray  # by slot
     n: int
     _ready: tuple = field(default=None, repr=False)
 
     def __getstate__(self):
-        return {"context": self.context.astype(np.float32), "df": self.df, "n": self.n, "_ready": None}
+        return {"context": self.context.astype(np.float32), "df": self.df.astype(np.int64), "n": self.n, "_ready": None}
 
-    def ready(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Places and signs of the index vectors, normalised contexts and pooling weights, by slot."""
+    def ready(self) -> tuple[np.ndarray, np.ndarray]:
+        """Normalised contexts and pooling weights, by slot."""
         if self._ready is None:
-            place, sign = index_vectors(OWN_DIM, 2)
             context = self.context / np.maximum(np.linalg.norm(self.context, axis=1, keepdims=True), 1e-9)
             share = self.df / max(self.n, 1)
             weight = -np.log(np.maximum(share, 1e-9)) * share / (share + RARE)
-            self._ready = place, sign.astype(np.float32), context.astype(np.float32), np.maximum(weight, 1e-3).astype(np.float32)
+            self._ready = context.astype(np.float32), np.maximum(weight, 1e-3).astype(np.float32)
         return self._ready
 
 
 def corpus_vectors(docs: DataFrame, text_col: str = "text") -> Vectors:
-    """One pass over all texts; every task sends one row for each slot it saw, and the sums are added up by slot."""
+    """One pass over all texts; every task sends one row for each number that isn't 0, and these are added up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = dense(*index_vectors(CONTEXT_DIM, 1), CONTEXT_DIM).astype(np.int16)
-        total, df, n = np.zeros((SLOTS, CONTEXT_DIM), np.int64), np.zeros(SLOTS, np.int64), 0
+        index = context_index()
+        total, df, n = np.zeros((CONTEXT_SLOTS, CONTEXT_DIM), np.int64), np.zeros(SLOTS, np.int64), 0
         for b in batches:
             for _, buf, offs in _chunks(b.column(0)):
-                slot, row = tokens(buf, offs)
-                if not len(slot):
+                word, row, head, of = features(buf, offs)
+                if not len(word):
                     continue
-                pairs = np.unique(row * SLOTS + slot)
+                pairs = np.unique(np.concatenate((row * SLOTS + _slot(word, SLOTS), of * SLOTS + _slot(head, SLOTS))))
                 df += np.bincount(pairs % SLOTS, minlength=SLOTS)
                 n += len(np.unique(row))
+                slot = _slot(word, CONTEXT_SLOTS)
                 near = np.zeros((len(slot), CONTEXT_DIM), np.int16)
                 for d in range(1, WINDOW + 1):
                     same = (row[d:] == row[:-d])[:, None]
@@ -131,45 +148,46 @@ def corpus_vectors(docs: DataFrame, text_col: str = "text") -> Vectors:
                 order = np.argsort(slot, kind="stable")
                 first = np.flatnonzero(np.diff(slot[order], prepend=-1))
                 total[slot[order][first]] += np.add.reduceat(near[order], first, axis=0, dtype=np.int64)
-        k = np.flatnonzero(df)
-        vec = pa.array(total[k].tolist(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(k, -1).astype(np.int32)), pa.array(np.append(df[k], n)), pa.concat_arrays([vec, pa.array([[0] * CONTEXT_DIM], pa.list_(pa.int64()))])], ["slot", "df", "v"])
-
-    part = C.map_arrow(docs.select(F.col(text_col).alias("text")), run, "slot int, df bigint, v array<bigint>")
-    p = part.groupBy("slot").agg(F.sum("df").alias("df"), F.array(*[F.sum(F.col("v")[i]) for i in range(CONTEXT_DIM)]).alias("v")).toPandas()  # at most SLOTS + 1 rows
-    out = Vectors(np.zeros((SLOTS, CONTEXT_DIM), np.float32), np.zeros(SLOTS, np.int64), 0)
-    for slot, df, v in p.itertuples(index=False):
-        if slot < 0:
-            out.n = int(df)
-        else:
-            out.df[slot], out.context[slot] = df, v
-    return out
-
-
-def bags(arr: pa.Array, vectors: Vectors) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Distinct slots of each text with their weights, of unit length together."""
-    weight = vectors.ready()[3]
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    for _, buf, offs in _chunks(arr):
-        slot, row = tokens(buf, offs)
-        key, count = np.unique(row * SLOTS + slot, return_counts=True)
-        bounds = np.searchsorted(key, np.arange(len(offs)) * SLOTS)
-        s = key % SLOTS
-        w = weight[s] * (1 + np.log(count)).astype(np.float32)
-        for a, b in zip(bounds, bounds[1:]):
-            out.append((s[a:b], w[a:b] / max(np.sqrt((w[a:b] ** 2).sum()), 1e-9)))
-    return out
-
-
-def pool(found: list[tuple[np.ndarray, np.ndarray]], vectors: Vectors) -> np.ndarray:
-    """Pooled word vectors: the index part, then the context part."""
-    place, sign, context, _ = vectors.ready()
-    out = np.zeros((len(found), OWN_DIM + CONTEXT_DIM), np.float32)
-    for i, (s, w) in enumerate(found):
-        if len(s):
-            out[i, :OWN_DIM] = np.bincount(place[s].ravel(), (sign[s] * w[:, None]).ravel(), OWN_DIM)
-            out[i, OWN_DIM:] = w @ context[s]
-    return out
+        every = np.concatenate((df, total.ravel(), [n]))  # numbered by place
+        k = np.flatnonzero(every)
+        for a in range(0, len(k), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(k[a : a + (1 << 16)].astype(np.int32)), pa.array(every[k[a : a + (1 << 16)]])], ["place", "v"])
+
+    part = C.map_arrow(docs.select(F.col(text_col).alias("text")), run, "place int, v bigint")
+    p = part.groupBy("place").agg(F.sum("v").alias("v")).toPandas()  # as many rows as there are slots, whatever the corpus
+    every = np.zeros(SLOTS + CONTEXT_SLOTS * CONTEXT_DIM + 1, np.int64)
+    every[p["place"]] = p["v"]
+    return Vectors(every[SLOTS:-1].reshape(CONTEXT_SLOTS, CONTEXT_DIM).astype(np.float32), every[:SLOTS], int(every[-1]))
+
+
+def pool(arr: pa.Array, vectors: Vectors) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, pooled vectors, number of tokens) of runs of texts: the index part, then the context part."""
+    context, weight = vectors.ready()
+    for first, buf, offs in _chunks(arr):
+        word, row, head, of = features(buf, offs)
+        whole = np.bincount(row, minlength=len(offs) - 1)
+        key, at = np.concatenate((word, head)), np.concatenate((row, of))
+        order = np.lexsort((key, at))
+        key, at = key[order], at[order]
+        new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (at[1:] != at[:-1])))) if len(key) else np.zeros(0, np.int64)
+        w = weight[_slot(key[new], SLOTS)] * (1 + np.log(np.diff(np.append(new, len(key))))).astype(np.float32)
+        is_word = (order < len(word))[new]
+        key, at = key[new], at[new]
+        norm = np.sqrt(np.bincount(at, w.astype(float) ** 2, len(offs) - 1))
+        w = (w / np.maximum(norm, 1e-9)[at]).astype(np.float32)
+        for a in range(0, len(offs) - 1, _ROWS):
+            n = min(_ROWS, len(offs) - 1 - a)
+            lo, hi = np.searchsorted(at, [a, a + n])
+            out = np.zeros((n, OWN_DIM + CONTEXT_DIM), np.float32)
+            flat = np.zeros(n * OWN_DIM)
+            for c in range(lo, hi, 1 << 16):
+                e = min(hi, c + (1 << 16))
+                place, sign = own_index(key[c:e])
+                flat += np.bincount((((at[c:e] - a) * OWN_DIM)[:, None] + place).ravel(), (sign * w[c:e, None]).ravel(), n * OWN_DIM)
+            out[:, :OWN_DIM] = flat.reshape(n, OWN_DIM)
+            k = lo + np.flatnonzero(is_word[lo:hi])
+            np.add.at(out[:, OWN_DIM:], at[k] - a, w[k, None] * context[_slot(key[k], CONTEXT_SLOTS)])
+            yield first + a, out, whole[a : a + n]
 
 
 @dataclass
@@ -205,18 +223,20 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = HIDDEN, epochs: int = EPOCHS
     """Adam in batches on four fifths of the rows, temperatures on the fifth that is left."""
     rng = np.random.default_rng(seed)
     held = np.arange(len(x)) % 5 == 4
-    mean, scale = x.mean(axis=0), np.full(x.shape[1], x.std() + 1e-6, np.float32)
+    mean = x.mean(axis=0)
+    spread = np.sqrt(max(0.0, sum(float((x[a : a + 256].astype(float) ** 2).sum()) for a in range(0, len(x), 256)) / x.size - float(mean.mean()) ** 2))
+    scale = np.full(x.shape[1], spread + 1e-6, np.float32)
     p = [rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 0.1, (hidden, y.shape[1])), np.zeros(y.shape[1])]
     p = [a.astype(np.float32) for a in p]
     m, v, k = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
     share = y.mean(axis=0)
     if not ((share > 0) & (share < 1)).any():
         epochs = 0
-    a, t = x[~held], y[~held].astype(np.float32)
+    a, t = np.flatnonzero(~held), y.astype(np.float32)  # the matrix isn't copied
     for epoch in range(epochs):
         rate = 0.003 * (1 - epoch / epochs)
-        for part in np.array_split(rng.permutation(len(a)), max(1, len(a) // BATCH)):
-            xs = (a[part] - mean) / scale
+        for part in np.array_split(a[rng.permutation(len(a))], max(1, len(a) // BATCH)):
+            xs = (x[part] - mean) / scale
             h = np.tanh(xs @ p[0] + p[1])
             g = (1 / (1 + np.exp(-np.clip(h @ p[2] + p[3], -60, 60))) - t[part]) / len(part)
             back = (g @ p[2].T) * (1 - h * h)
@@ -234,7 +254,7 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = HIDDEN, epochs: int = EPOCHS
 
 
 def train(docs: DataFrame, labels: DataFrame, vectors: Vectors, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN) -> Network | None:
-    """Fit on at most ``max_train`` labelled rows; their slots and weights are collected, not texts."""
+    """Fit on at most ``max_train`` labelled rows; their pooled vectors are collected, not texts."""
     known = labels.select(F.col(id_col).alias("id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).where("id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
     known = known.groupBy("id").agg(F.min(F.struct("quality", "toxic")).alias("y")).select("id", "y.quality", "y.toxic").orderBy(F.xxhash64("id"), "id").limit(max_train)
     held = docs.sparkSession.sparkContext.broadcast(vectors)
@@ -242,18 +262,28 @@ def train(docs: DataFrame, labels: DataFrame, vectors: Vectors, id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = bags(C.column(b, "text"), held.value)
-            yield pa.RecordBatch.from_arrays(
-                [C.column(b, "id").cast(pa.string()), C.column(b, "quality"), C.column(b, "toxic"), pa.array([g.astype(np.int32).tobytes() for g, _ in got], pa.binary()), pa.array([w.tobytes() for _, w in got], pa.binary())],
-                ["id", "quality", "toxic", "slots", "weights"],
-            ).filter(pa.array([len(g) > 0 for g, _ in got], pa.bool_()))
-
-    p = C.map_arrow(rows, run, "id string, quality int, toxic int, slots binary, weights binary").toPandas()
+            for first, x, n in pool(C.column(b, "text"), held.value):
+                part = b.slice(first, len(x))
+                own, where = np.nonzero(x[n > 0])
+                size = np.bincount(own, minlength=int((n > 0).sum()))
+                cut = np.cumsum(size)[:-1]
+                part = part.filter(pa.array(n > 0))
+                value = x[n > 0][own, where].astype("<f4")
+                yield pa.RecordBatch.from_arrays(
+                    [C.column(part, "id").cast(pa.string()), C.column(part, "quality"), C.column(part, "toxic"), pa.array([v.tobytes() for v in np.split(where.astype("<u2"), cut)] if len(size) else [], pa.binary()), pa.array([v.tobytes() for v in np.split(value, cut)] if len(size) else [], pa.binary())],
+                    ["id", "quality", "toxic", "places", "vector"],
+                )
+
+    p = C.map_arrow(rows, run, "id string, quality int, toxic int, places binary, vector binary").toPandas()
     if p.empty:
         return None
-    p = p.sort_values(["id", "slots", "weights"]).drop_duplicates("id").sample(frac=1, random_state=1)
-    x = pool([(np.frombuffer(g, np.int32), np.frombuffer(w, np.float32)) for g, w in zip(p["slots"], p["weights"])], vectors)
-    return fit(x, p[["quality", "toxic"]].to_numpy())
+    p = p.sort_values(["id", "places", "vector"]).drop_duplicates("id").sample(frac=1, random_state=1)
+    x = np.zeros((len(p), OWN_DIM + CONTEXT_DIM), np.float32)
+    for r, (where, v) in enumerate(zip(p["places"], p["vector"])):
+        x[r, np.frombuffer(where, "<u2")] = np.frombuffer(v, "<f4")
+    y = p[["quality", "toxic"]].to_numpy()
+    del p
+    return fit(x, y)
 
 
 def score(docs: DataFrame, vectors: Vectors, net: Network | None, id_col: str = "doc_id", text_col: str = "text", min_quality: float = 0.5, max_toxic: float = 0.5) -> DataFrame:
@@ -262,16 +292,14 @@ def score(docs: DataFrame, vectors: Vectors, net: Network | None, id_col: str =
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                b = batch.slice(a, 500)
-                vec, n = held.value
-                found = bags(C.column(b, "text"), vec)
-                ok = np.array([len(s) > 0 for s, _ in found])
-                p = n.probabilities(pool(found, vec)) if n else np.full((len(found), 2), 0.5)
-                p[~ok] = np.nan
-                keep = ok & (p[:, 0] >= min_quality) & ~(p[:, 1] > max_toxic)
-                yield pa.RecordBatch.from_arrays([C.column(b, "doc_id"), pa.array(p[:, 0], from_pandas=True), pa.array(p[:, 1], from_pandas=True), pa.array(keep)], ["doc_id", "p_quality", "p_toxic", "keep"])
+        for b in batches:
+            vec, trained = held.value
+            for first, x, n in pool(C.column(b, "text"), vec):
+                part = b.slice(first, len(x))
+                p = trained.probabilities(x) if trained else np.full((len(x), 2), 0.5)
+                p[n == 0] = np.nan
+                keep = (n > 0) & (p[:, 0] >= min_quality) & ~(p[:, 1] > max_toxic)
+                yield pa.RecordBatch.from_arrays([C.column(part, "doc_id"), pa.array(p[:, 0], from_pandas=True), pa.array(p[:, 1], from_pandas=True), pa.array(keep)], ["doc_id", "p_quality", "p_toxic", "keep"])
 
     return C.map_arrow(slim, run, f"doc_id {dict(slim.dtypes)['doc_id']}, p_quality double, p_toxic double, keep boolean")
 

@@ -270,14 +270,63 @@ def test_html_blocks_against_plain_loop():
 def test_quality_on_held_out_labels(spark, odd, none):
     # some 300 labelled rows, as at sf0.01, are too few to beat the majority; the README has the figures
     d, lab = spark.read.parquet(f"{SF}/../sf0.1/documents.parquet"), spark.read.parquet(f"{SF}/../sf0.1/labels.parquet")
-    got = quality.classify(d, lab.where("doc_id % 4 <> 0")).join(lab.where("doc_id % 4 = 0"), "doc_id").toPandas()
+    odd_labels = lab.where("doc_id % 4 <> 0").unionByName(spark.createDataFrame([(None, 1, 0), (1, None, 1), (16, 1, 1), (16, 1, 1)], "doc_id bigint, quality int, toxic int"))
+    got = quality.classify(d, odd_labels).join(lab.where("doc_id % 4 = 0"), "doc_id").toPandas()
     for p, y in ((got.p_quality, got.quality), (got.p_toxic, got.toxic)):
         assert ((p > 0.5) == (y == 1)).mean() > max(y.mean(), 1 - y.mean()) + 0.03
+    assert ((got.p_toxic > 0.5) & (got.toxic == 1)).sum() >= 0.75 * got.toxic.sum() and ((got.p_toxic > 0.5) & (got.toxic == 0)).mean() < 0.01
     r = {str(x.doc_id): x for x in quality.classify(odd, lab.limit(0)).collect()}
-    assert r["1"].p_quality is None and not r["2"].keep and r["4"].p_quality == 0.5
+    assert r["1"].p_quality is None and not r["2"].keep and r["4"].p_quality == 0.5 and r["4"].keep
     assert quality.classify(none, lab.limit(0)).count() == 0
 
 
+def test_quality_counts_and_pooling_against_plain_loops(spark):
+    import re
+
+    texts = ["The cat, the cats!", "cat", None, "", "  ", "über the überall ###", "the " * 3000]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    v = quality.corpus_vectors(d)
+
+    def split(t):
+        return [x.encode() for x in re.findall(r"[^\W_]+|[^\w\s]+|_+", (t or "").lower())]
+
+    def number(x, n=0):
+        h = quality.C.span_hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))
+        return int((quality.C.mix(h + np.uint64(n)) if n else h)[0])
+
+    def found(t):
+        words = split(t)
+        return Counter([number(w) for w in words] + [number(w[:n], n) for w in words for n in quality.PREFIXES if len(w) > n]), {number(w) for w in words}
+
+    df = np.zeros(quality.SLOTS, np.int64)
+    for t in texts:
+        for s in {h >> 46 for h in found(t)[0]}:
+            df[s] += 1
+    assert v.n == 4 and (v.df == df).all()
+    index, sums = quality.context_index(), np.zeros_like(v.context, dtype=np.int64)
+    for t in texts:
+        slots = [number(w) >> 50 for w in split(t)]
+        for i, s in enumerate(slots):
+            for j in range(max(0, i - 2), min(len(slots), i + 3)):
+                if i != j:
+                    sums[s] += index[slots[j]]
+    assert (v.context == sums).all()
+    context, weight = v.ready()
+    x = np.concatenate([m for _, m, _ in quality.pool(pa.array(texts), v)])
+    for r, t in enumerate(texts):
+        count, words = found(t)
+        want = np.zeros(quality.OWN_DIM + quality.CONTEXT_DIM)
+        w = {h: weight[h >> 46] * (1 + math.log(n)) for h, n in count.items()}
+        norm = max(math.sqrt(sum(float(a) ** 2 for a in w.values())), 1e-9)
+        for h, a in w.items():
+            place, sign = quality.own_index(np.array([h], np.uint64))
+            for q, g in zip(place[0], sign[0]):
+                want[q] += g * a / norm
+            if h in words:
+                want[quality.OWN_DIM :] += a / norm * context[h >> 50]
+        assert np.allclose(x[r], want, atol=1e-4)
+
+
 def test_near_duplicates_against_brute_force(spark, odd, none):
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(900)]
