@@ -137,3 +137,26 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
                 yield pa.RecordBatch.from_arrays([C.column(b, "page_id"), pa.array(text, pa.string()), pa.array([None if x is None else len(x) for x in text], pa.int64())], ["page_id", "text", "n_chars"])
 
     return C.map_arrow(slim, run, f"page_id {dict(slim.dtypes)['page_id']}, text string, n_chars bigint")
+
+
+_HIDDEN = "|".join(["(?is)<!--.*?(?:-->|\\z)", *[rf"<{n}\b[^>]*>.*?(?:</{n}\s*>|\z)" for n in ("script", "style", "head", "noscript", "template", "svg")], "<![^>]*>"])
+_DECODED = "line"
+for _entity, _char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&#39;", "''"), ("&apos;", "''")):
+    _DECODED = f"replace({_DECODED}, '{_entity}', '{_char}')"
+#: The same in DuckDB, with the entities that such pages use. All starts before one dive make one block, and an edge is the outermost line that stays.
+ORACLE = rf"""
+WITH shown AS (SELECT page_id, html, regexp_replace(regexp_replace(html, '{_HIDDEN}', ' ', 'g'), '\s+', ' ', 'g') AS t FROM pages),
+cut AS (SELECT page_id, html, regexp_replace(regexp_replace(t, '(?i){_BREAK.pattern.replace("*+", "*")}', chr(10), 'g'), '{_TAG.pattern.replace("*+", "*")}', '', 'g') AS t FROM shown),
+split AS (SELECT page_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) - 1 AS i FROM cut),
+lines AS (SELECT page_id, i, trim(regexp_replace(regexp_replace({_DECODED}, '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS x FROM split),
+sized AS (SELECT page_id, i, x, length(replace(x, ' ', '')) AS n FROM lines),
+summed AS (SELECT *, sum(n) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {WIDTH - 1} FOLLOWING) AS w, max(i) OVER (PARTITION BY page_id) + 1 AS stop FROM sized),
+ahead AS (SELECT *, lead(w) OVER (PARTITION BY page_id ORDER BY i) AS next, min(CASE WHEN w < {DIVE} THEN i END) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS dive FROM summed),
+block AS (SELECT page_id, min(i) AS s, coalesce(dive, stop) - 1 AS e FROM ahead WHERE w > {SURGE} AND coalesce(next, 1) <> 0 GROUP BY page_id, coalesce(dive, stop)),
+near AS (SELECT *, lag(n, 1) OVER p AS b1, lag(n, 2) OVER p AS b2, lead(n, 1) OVER p AS a1, lead(n, 2) OVER p AS a2 FROM sized WINDOW p AS (PARTITION BY page_id ORDER BY i)),
+first AS (SELECT b.page_id, b.e, coalesce(min(r.i), b.e) AS s FROM block b LEFT JOIN near r ON r.page_id = b.page_id AND r.i >= b.s AND r.i < b.e AND r.n > 0 AND NOT (r.n < {SURGE} AND r.i + 3 <= b.e AND r.a1 = 0 AND r.a2 = 0) GROUP BY b.page_id, b.s, b.e),
+last AS (SELECT b.page_id, b.s, coalesce(max(r.i), b.s) AS e FROM first b LEFT JOIN near r ON r.page_id = b.page_id AND r.i > b.s AND r.i <= b.e AND r.n > 0 AND NOT (r.n < {SURGE} AND r.i - 3 >= b.s - 1 AND r.b1 = 0 AND r.b2 = 0) GROUP BY b.page_id, b.s, b.e),
+kept AS (SELECT r.page_id, string_agg(r.x, chr(10) ORDER BY r.i) AS text FROM last b JOIN sized r ON r.page_id = b.page_id AND r.i BETWEEN b.s AND b.e WHERE r.x <> '' GROUP BY r.page_id)
+SELECT p.page_id, CASE WHEN p.html IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, CASE WHEN p.html IS NULL THEN NULL ELSE length(coalesce(k.text, '')) END AS n_chars
+FROM pages p LEFT JOIN kept k ON p.page_id = k.page_id
+"""

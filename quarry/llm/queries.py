@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": sharding.ORACLE, "op10_line_dedup": linededup.ORACLE.format(max_ratio=linededup.MAX_RATIO)}
+    return {"op4_sharding": sharding.ORACLE, "op5_html_extraction": html_extract.ORACLE, "op10_line_dedup": linededup.ORACLE.format(max_ratio=linededup.MAX_RATIO)}

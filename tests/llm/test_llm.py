@@ -283,6 +283,13 @@ def test_html_hidden_parts_against_character_loop():
         assert html_extract._without_hidden(page) == plain(page), page
 
 
+def test_html_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
+    want = con.execute("SELECT page_id, text, n_chars FROM (" + queries.oracle_sql()["op5_html_extraction"] + ")").fetchall()
+    assert sorted(map(tuple, queries.op5_html_extraction(spark, SF).collect())) == sorted(want)
+
+
 def test_html_edges(spark):
     rows = [(k, "<p>" + "word " * 100_000 + "</p>") for k in (2**53 + 1, None)]
     d = spark.createDataFrame(rows, "page_id bigint, html string").withColumn("n_chars", F.lit("x")).withColumn("text", F.lit(1))
