@@ -8,8 +8,12 @@ Advisories: id, severity (0 to 4), cvss, title, description,
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +21,7 @@ from quarry.functions import regex, semver, text
 from quarry.sources import lockfiles
 
 LOW = 1
+MANY = 64
 SEVERITIES = ("unknown", "low", "medium", "high", "critical")
 
 
@@ -85,6 +90,8 @@ def scan_content(docs: DataFrame, advisories: list[dict], min_severity: int = LO
     """
     tests = _tests(advisories, min_severity)
     content = F.col(text_col)
+    if len(tests) > MANY:
+        return _scan_many(docs, tests, id_col, text_col)
     if not tests:
         return docs.limit(0).select(F.col(id_col), *[F.lit(None).cast(t).alias(n) for n, t in (("advisory_id", "string"), ("severity", "int"), ("type", "string"), ("line", "int"), ("snippet", "string"))])
     some = docs.where(reduce(lambda a, b: a | b, [content.rlike(t) if is_regex else content.contains(t) for *_, t, is_regex in tests]))
@@ -102,6 +109,61 @@ def scan_content(docs: DataFrame, advisories: list[dict], min_severity: int = LO
     return found.withColumn("each", F.explode("each")).drop("each")
 
 
+def _scan_many(docs: DataFrame, tests: list[tuple[str, int, str, str, bool]], id_col: str, text_col: str) -> DataFrame:
+    kind = dict(docs.dtypes)[id_col]
+    words = sorted({t for *_, t, is_regex in tests if not is_regex})
+    names = ["advisory_id", "severity", "type", "line", "snippet"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex as engine
+
+        literals: dict[str, list[tuple]] = {}
+        for a, s, k, t, is_regex in tests:
+            if not is_regex:
+                literals.setdefault(t, []).append((a, s, k))
+        compiled = [((a, s, k), engine.compile(t.removeprefix("(?d)"), engine.V0)) for a, s, k, t, is_regex in tests if is_regex]
+        find = _matcher(words)
+        for b in batches:
+            at, rows = [], []
+            for i, body in enumerate(b.column(1).to_pylist()):
+                hits = [(start, of) for word, start in find(body) for of in literals[word]] if body else []
+                hits += [(m.start(), of) for of, p in compiled for m in p.finditer(body)] if body else []
+                if not hits:
+                    continue
+                lines, ends = body.split("\n"), [m.start() for m in re.finditer("\n", body)]
+                for start, of in hits:
+                    n = bisect_left(ends, start)
+                    rows.append((*of, n + 1, "\n".join(lines[max(0, n - 2) : n + 3])))
+                    at.append(i)
+            out = [pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * 5, (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *out], [id_col, *names])
+
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, advisory_id string, severity int, type string, line int, snippet string")
+
+
+def _matcher(words: list[str]) -> Callable[[str], Iterator[tuple[str, int]]]:
+    """(word, start) of every occurrence of every word, those of one word without overlap."""
+    try:
+        import ahocorasick
+    except ImportError:  # one search a word
+        return lambda body: ((w, m.start()) for w in words for m in re.finditer(re.escape(w), body))
+    tree = ahocorasick.Automaton()
+    for w in words:
+        tree.add_word(w, w)
+    if words:
+        tree.make_automaton()
+
+    def find(body: str) -> Iterator[tuple[str, int]]:
+        free: dict[str, int] = {}
+        for end, w in tree.iter(body) if words else ():
+            start = end + 1 - len(w)
+            if start >= free.get(w, 0):
+                free[w] = end + 1
+                yield w, start
+
+    return find
+
+
 def scan_project(files: DataFrame, advisories: DataFrame, patterns: list[dict], min_severity: int = LOW, include_dev: bool = False) -> DataFrame:
     """Findings of a whole project (path, content): its lock files' dependencies and its content, one for an advisory, package and file.
 

@@ -23,6 +23,15 @@ def test_content_patterns_run_over_line_ends_and_are_quoted(spark):
     assert got == {("a.js", "pattern", 2, "one\neval(\n  x)\nlast"), ("a.js", "pattern", 4, "eval(\n  x)\nlast"), ("b.txt", "pattern", 2, "a\\Eb\nfoo\nbar $1"), ("b.txt", "ioc", 1, "a\\Eb\nfoo\nbar $1"), ("b.txt", "ioc", 3, "a\\Eb\nfoo\nbar $1")}
 
 
+def test_many_patterns_are_found_as_few_are(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    docs = spark.createDataFrame([(i, "\n".join("".join(rng.choice(list("abc \\E"), rng.integers(0, 9))) for _ in range(6))) for i in range(60)] + [(99, None), (98, "")], "path int, content string")
+    adv = [{"id": f"A{k}", "severity": 1 + k % 3, "patterns": [{"type": "trigram", "query": q}, {"type": "regex", "query": r}], "iocs": [{"value": v}]} for k, (q, r, v) in enumerate([("aa", "b+\\n", "c"), ("ab", "[[:alpha:]]c", "\\E"), ("a\nb", "^a|c$", "aa")])]
+    few = sorted(map(tuple, vulnerabilities.scan_content(docs, adv).collect()))
+    monkeypatch.setattr(vulnerabilities, "MANY", 2)
+    assert few == sorted(map(tuple, vulnerabilities.scan_content(docs, adv).collect())) and len(few) > 50
+
+
 def test_word_class():
     assert regex.to_java("[[:word:]-]+") == r"(?d)[\w-]+" and regex.plan("[[:word:]]abc").trigrams == (b"abc",)
     with pytest.raises(ValueError):
