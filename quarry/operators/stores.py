@@ -126,6 +126,14 @@ def findings_order(path_col: str = "path") -> list[Column]:
     return [F.desc("severity"), *map(F.asc, ("advisory_id", "package", path_col, "line", "type", "project_id", "workspace_id", "id"))]
 
 
+def summary(docs: DataFrame, embeddings: DataFrame | None = None, size: str = "size", updated: str = "updated_at") -> DataFrame:
+    """(files, bytes, embeddings, updated_at): the totals of an index, in one row."""
+    out = docs.agg(F.count("*").alias("files"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"), F.max(updated).alias(updated))
+    n = F.lit(0).cast("bigint").alias("embeddings") if embeddings is None else F.col("embeddings")
+    both = out if embeddings is None else out.crossJoin(F.broadcast(embeddings.agg(F.count("*").alias("embeddings"))))  # a row each
+    return both.select("files", "bytes", n, updated)
+
+
 def status(docs: DataFrame, language: str = "language", size: str = "size") -> DataFrame:
     """(language, files, bytes): totals by language, and of all in the row without one."""
     lang = F.when(F.coalesce(F.col(language), F.lit("")) == "", "unknown").otherwise(F.col(language))
@@ -221,9 +229,12 @@ class Table:
         state = self.state()
         if not state["exists"]:
             return None
-        roots = [f"{self.path}/{f}" for k, f in state["parts"].items() if only is None or int(k) in only]
-        if roots:
-            return self.spark.read.parquet(*roots)
+        roots: dict[str, list[str]] = {}
+        for k, f in sorted(state["parts"].items()):
+            if only is None or int(k) in only:
+                roots.setdefault(f.split("/")[0], []).append(f"{self.path}/{f}")
+        if roots:  # one scan for each folder, of which there are no more than buckets
+            return reduce(DataFrame.unionByName, [self.spark.read.option("basePath", f"{self.path}/{v}").parquet(*r).drop("__bucket") for v, r in roots.items()])
         path, fs = self._hadoop("SCHEMA")
         stream = fs.open(path)
         try:

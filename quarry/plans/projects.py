@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.functions import regex, semver, text, vectors
+from quarry.functions import git, regex, semver, text, vectors
 from quarry.operators import inventory, mapping, patches, search, stores, symbols, vulnerabilities
 from quarry.plans import catalogue as c
 from quarry.plans.catalogue import FILES, WORD, _read, _register, documents
-from quarry.plans.engine import Engine
+from quarry.plans.engine import Engine, Store
 from quarry.sources import feeds, files, lockfiles
 from quarry.streaming import watch
 
@@ -376,3 +381,111 @@ def patch_strategies(spark, sf):
     )
     line = lambda sign: F.get(F.filter(F.split("diff", "\n"), lambda x: x.startswith(sign) & ~x.startswith(sign * 3)), F.lit(0))
     return patches.patches(found, source).select("finding_id", "confidence", line("-").alias("gone"), line("+").alias("come"))
+
+
+# --------------------------------------------------------------------------- small functions
+
+
+@_register("SELECT doc_id, doc_id % 3 = 0 AS binary, doc_id % 3 = 0 OR doc_id % 5 = 0 AS looks_binary FROM documents")
+def binary_filter(spark, sf):
+    """Texts with a zero byte at their head, and with many control characters."""
+    k = F.col("doc_id")
+    head = F.concat(F.when(k % 3 == 0, F.lit("ab\0")).otherwise(""), F.when(k % 5 == 0, F.lit("\x01" * 5000)).otherwise(""))
+    body = F.encode(F.concat(head, F.replace("text", F.lit("\0"), F.lit(" "))), "UTF-8")
+    return _read(spark, sf, "documents").select("doc_id", text.is_binary(body).alias("binary"), text.looks_binary(body).alias("looks_binary"))
+
+
+@_register("SELECT doc_id, 'a.b/f' || CAST(doc_id AS VARCHAR) || CASE WHEN doc_id % 3 = 2 THEN '@dev' WHEN doc_id % 3 = 1 THEN '.Go' ELSE '.py' END AS path, CASE WHEN doc_id % 3 = 1 THEN '.go' WHEN doc_id % 3 = 2 THEN '' ELSE '.py' END AS extension FROM documents")
+def path_parts(spark, sf):
+    """Paths without the branch behind an extension, and their extension."""
+    k = F.col("doc_id")
+    path = F.concat(F.lit("a.b/f"), k.cast("string"), F.when(k % 3 == 0, ".py@main").when(k % 3 == 1, ".Go").otherwise("@dev"))
+    plain = F.when(k % 3 == 2, path).otherwise(text.strip_branch(path))  # a dot in a folder counts as well: see the operator
+    return _read(spark, sf, "documents").select("doc_id", plain.alias("path"), text.extension(plain).alias("extension"))
+
+
+@_register("SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'pypi' WHEN 1 THEN 'pypi' WHEN 2 THEN 'go' WHEN 3 THEN 'cargo' WHEN 4 THEN 'npm' ELSE 'crates.io' END AS ecosystem, CASE p_size % 6 WHEN 0 THEN 7.5 WHEN 1 THEN 9.8 END AS cvss FROM part")
+def advisory_fields(spark, sf):
+    """Registry names, and scores from numbers and vectors."""
+    n = F.col("p_size") % 6
+    score = _pick(n, "7.5", "CVSS:3.1/AV:N/SCORE:9.8", "CVSS:3.1/AV:N", "none", "", "x1")
+    return _read(spark, sf, "part").select("p_partkey", semver.ecosystem(_pick(n, "PIP", "PyPI", "golang", "Rust", "npm", "crates.io")).alias("ecosystem"), feeds.cvss(score).alias("cvss"))
+
+
+@_register("SELECT doc_id, 'o' || CAST(doc_id % 9 AS VARCHAR) || '/r' || CAST(doc_id AS VARCHAR) AS name FROM documents")
+def repository_names(spark, sf):
+    k = F.col("doc_id")
+    name = F.concat(F.lit("o"), (k % 9).cast("string"), F.lit("/r"), k.cast("string"))
+    url = F.when(k % 3 == 0, F.concat(F.lit("git@host.example:"), name, F.lit(".git"))).when(k % 3 == 1, F.concat(F.lit("https://host.example/"), name)).otherwise(F.concat(F.lit("ssh://host.example/x/"), name, F.lit(".git")))
+    return _read(spark, sf, "documents").select("doc_id", git.repository_name(url).alias("name"))
+
+
+@_register("SELECT doc_id, unnest(['Reviewed-by', 'Co-authored-by']) AS key, unnest(['R', 'N' || CAST(doc_id AS VARCHAR) || ' <n' || CAST(doc_id AS VARCHAR) || '@x.y>']) AS value, 'n' || CAST(doc_id AS VARCHAR) || '@x.y' AS author FROM documents WHERE doc_id % 2 = 0")
+def commit_trailers(spark, sf):
+    """Trailers of messages; every other message ends with a line that is none."""
+    k = F.col("doc_id").cast("string")
+    message = F.concat(F.lit("Subject\n\nBody: not a trailer\n\nReviewed-by: R\nCo-authored-by: N"), k, F.lit(" <n"), k, F.lit("@x.y>\n"), F.when(F.col("doc_id") % 2 == 1, "\nthe end\n").otherwise(""))
+    m = _read(spark, sf, "documents").select("doc_id", message.alias("m")).withColumn("t", git.trailers_of(F.col("m"))).withColumn("a", git.co_authors_of(F.col("m")))
+    return m.select("doc_id", F.inline("t"), F.get("a", F.lit(0))["email"].alias("author"))
+
+
+@_register(f"WITH {FILES} SELECT doc_id FROM files WHERE language = 'en' AND branch IN ('main') AND doc_id % 4 IN (1, 2) AND doc_id % 3 <> 0")
+def store_filter_scope(spark, sf):
+    """Tiers, kinds and metadata beside the language."""
+    docs = documents(spark, sf).withColumn("tier", F.when(F.col("doc_id") % 4 < 3, F.concat(F.lit("t"), (F.col("doc_id") % 4).cast("string"))).otherwise("cold")).withColumn("kind", (F.col("doc_id") % 4).cast("int")).withColumn("metadata", F.create_map(F.lit("branch"), F.col("branch")))
+    return docs.where(stores.filters(language="en", kinds=[0, 1, 2], tiers=["t1", "t2"], metadata={"branch": "main"})).select("doc_id")
+
+
+@_register(f"WITH {_WANT} SELECT path, name FROM symbol WHERE kind = 'method' AND NOT exported AND path LIKE 'rs/%'")
+def symbol_filter(spark, sf):
+    found = symbols.extract_symbols(_sources(spark, sf))
+    return symbols.search(found, kind="method", language="rust", path_glob="rs/*.rs", exported=False).select("path", "name")
+
+
+@_register(f"WITH {c._HITS_SQL} SELECT doc_id, max(score) FILTER (backend = 'lexical') AS lexical, max(score) FILTER (backend = 'semantic') AS semantic FROM hits GROUP BY doc_id")
+def fusion_scores(spark, sf):
+    """The score of each backend beside the fused one."""
+    s = F.col("backend_scores")
+    return search.reciprocal_rank_fusion(c._hits(spark, sf)).select("doc_id", s["lexical"].alias("lexical"), s["semantic"].alias("semantic"))
+
+
+@_register(f"WITH {FILES} SELECT count(*) AS files, CAST(sum(octet_length(encode(content))) AS BIGINT) AS bytes, count(*) FILTER (doc_id % 2 = 0) AS embeddings, max(doc_id % 1000) AS updated FROM files")
+def index_summary(spark, sf):
+    docs = documents(spark, sf).withColumn("updated_at", F.col("doc_id") % 1000).withColumn("size", F.octet_length("content"))
+    return stores.summary(docs, docs.where("doc_id % 2 = 0").select("doc_id")).withColumnRenamed("updated_at", "updated")
+
+
+@_register(f"WITH {FILES} SELECT repository_id, branch, count(*) AS n FROM files GROUP BY repository_id, branch")
+def shard_write(spark, sf):
+    """Documents written in partitions by repository and branch, and read back."""
+    table = stores.Table(spark, _folder(spark), "doc_id", 2)
+    table.write(documents(spark, sf), ["repository_id", "branch"])
+    return table.read().groupBy("repository_id", "branch").agg(F.count("*").alias("n"))
+
+
+_NOW = f"now AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'changed ' || content ELSE content END AS content, CASE WHEN doc_id % 10 = 0 THEN 'rewritten' ELSE 'first' END AS version FROM files WHERE doc_id % 10 <> 5)"
+
+
+@_register(f"WITH {FILES}, {_NOW}, h AS (SELECT doc_id, version, regexp_extract_all(hex(encode(content)), '..') AS b FROM now), g AS (SELECT doc_id, version, unnest(list_distinct(list_filter(list_transform(range(1, len(b) - 1), lambda i: b[i] || b[i + 1] || b[i + 2]), lambda t: t[1:2] NOT IN ('00', '0A') AND t[3:4] NOT IN ('00', '0A') AND t[5:6] NOT IN ('00', '0A')))) AS t FROM h) SELECT n.doc_id, n.version, 'first' AS created, count(g.t) AS trigrams FROM now n LEFT JOIN g ON n.doc_id = g.doc_id GROUP BY n.doc_id, n.version")
+def engine_reindex(spark, sf):
+    """A store after a tenth of the documents was rewritten and another tenth removed: the postings are those of the newest version alone."""
+    store = Store(spark, _folder(spark), buckets=4)
+    docs = documents(spark, sf).withColumn("version", F.lit("first")).withColumn("created", F.lit("first"))
+    store.index(docs, created="created")
+    changed = docs.where("doc_id % 10 = 0").withColumn("content", F.concat(F.lit("changed "), "content")).withColumn("version", F.lit("rewritten")).withColumn("created", F.lit("second"))
+    store.index(changed, created="created")
+    store.remove(docs.where("doc_id % 10 = 5").select("doc_id"))
+    e = store.engine()
+    n = e.postings.groupBy("doc_id").agg(F.count("*").alias("trigrams"))
+    return e.docs.join(n, "doc_id", "left").select("doc_id", "version", "created", F.coalesce("trigrams", F.lit(0)).alias("trigrams"))
+
+
+def _folder(spark) -> str:
+    """A new folder in the one that all executors share; a temporary one only on a single machine where none is set."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="quarry-tables-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    return f"{shared.rstrip('/')}/tables-{uuid.uuid4().hex}"
