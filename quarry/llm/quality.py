@@ -203,7 +203,8 @@ class Network:
     temperature: np.ndarray
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.tanh((x - self.mean) / self.scale @ self.w1 + self.b1) @ self.w2 + self.b2
+        parts = [np.tanh((x[a : a + _ROWS] - self.mean) / self.scale @ self.w1 + self.b1) @ self.w2 + self.b2 for a in range(0, len(x), _ROWS)]
+        return np.concatenate(parts) if parts else np.zeros((0, self.w2.shape[1]))
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -60, 60)))
@@ -223,7 +224,7 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = HIDDEN, epochs: int = EPOCHS
     """Adam in batches on four fifths of the rows, temperatures on the fifth that is left."""
     rng = np.random.default_rng(seed)
     held = np.arange(len(x)) % 5 == 4
-    mean = x.mean(axis=0)
+    mean = x.mean(axis=0, dtype=np.float32)
     spread = np.sqrt(max(0.0, sum(float((x[a : a + 256].astype(float) ** 2).sum()) for a in range(0, len(x), 256)) / x.size - float(mean.mean()) ** 2))
     scale = np.full(x.shape[1], spread + 1e-6, np.float32)
     p = [rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 0.1, (hidden, y.shape[1])), np.zeros(y.shape[1])]
@@ -254,7 +255,7 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = HIDDEN, epochs: int = EPOCHS
 
 
 def train(docs: DataFrame, labels: DataFrame, vectors: Vectors, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN) -> Network | None:
-    """Fit on at most ``max_train`` labelled rows; their pooled vectors are collected, not texts."""
+    """Fit on at most ``max_train`` labelled rows; their pooled vectors are fetched a partition at a time, not texts."""
     known = labels.select(F.col(id_col).alias("id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).where("id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
     known = known.groupBy("id").agg(F.min(F.struct("quality", "toxic")).alias("y")).select("id", "y.quality", "y.toxic").orderBy(F.xxhash64("id"), "id").limit(max_train)
     held = docs.sparkSession.sparkContext.broadcast(vectors)
@@ -268,22 +269,24 @@ def train(docs: DataFrame, labels: DataFrame, vectors: Vectors, id_col: str = "d
                 size = np.bincount(own, minlength=int((n > 0).sum()))
                 cut = np.cumsum(size)[:-1]
                 part = part.filter(pa.array(n > 0))
-                value = x[n > 0][own, where].astype("<f4")
+                value = x[n > 0][own, where].astype("<f2")
                 yield pa.RecordBatch.from_arrays(
                     [C.column(part, "id").cast(pa.string()), C.column(part, "quality"), C.column(part, "toxic"), pa.array([v.tobytes() for v in np.split(where.astype("<u2"), cut)] if len(size) else [], pa.binary()), pa.array([v.tobytes() for v in np.split(value, cut)] if len(size) else [], pa.binary())],
                     ["id", "quality", "toxic", "places", "vector"],
                 )
 
-    p = C.map_arrow(rows, run, "id string, quality int, toxic int, places binary, vector binary").toPandas()
-    if p.empty:
+    found = C.map_arrow(rows, run, "id string, quality int, toxic int, places binary, vector binary")
+    found = C.cut(found.groupBy("id").agg(F.min(F.struct("places", "vector", "quality", "toxic")).alias("r")).select("id", "r.*"))
+    n = found.count()
+    if not n:
         return None
-    p = p.sort_values(["id", "places", "vector"]).drop_duplicates("id").sample(frac=1, random_state=1)
-    x = np.zeros((len(p), OWN_DIM + CONTEXT_DIM), np.float32)
-    for r, (where, v) in enumerate(zip(p["places"], p["vector"])):
-        x[r, np.frombuffer(where, "<u2")] = np.frombuffer(v, "<f4")
-    y = p[["quality", "toxic"]].to_numpy()
-    del p
-    return fit(x, y)
+    ids, x, y = [], np.zeros((n, OWN_DIM + CONTEXT_DIM), np.float16), np.zeros((n, 2), np.int64)
+    for r in found.toLocalIterator():
+        x[len(ids), np.frombuffer(bytes(r.places), "<u2")] = np.frombuffer(bytes(r.vector), "<f2")
+        y[len(ids)] = r.quality, r.toxic
+        ids.append(r.id)
+    order = np.argsort(np.array(ids, object))[np.random.default_rng(1).permutation(n)]
+    return fit(x[order], y[order])
 
 
 def score(docs: DataFrame, vectors: Vectors, net: Network | None, id_col: str = "doc_id", text_col: str = "text", min_quality: float = 0.5, max_toxic: float = 0.5) -> DataFrame:
