@@ -206,6 +206,17 @@ class Codebook:
         return np.split(out, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
 
+def _runs(batch: pa.RecordBatch, sizes: list[int | None], tokens: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of at most ``tokens`` tokens; a longer row is a run of its own."""
+    at, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > at and held + (n or 0) > tokens:
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += n or 0
+    yield batch.slice(at)
+
+
 def encode_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY, max_bits: int = MAX_BITS, block: int = BLOCK) -> tuple[DataFrame, Codebook]:
     """(doc_id, n_tokens, n_bits, bits, checkpoints, verified) per row, and the codebook.
 
@@ -219,8 +230,8 @@ def encode_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 128):
-                b = batch.slice(a, 128)
+            wide = pc.if_else(C.column(batch, "wide"), 4, 2)
+            for b in _runs(batch, pc.divide(pc.binary_length(C.column(batch, "ids")), wide).to_pylist()):
                 rows = _arrays(b)
                 live = [x for x in rows if x is not None]
                 streams = book.encode(live, block)
@@ -253,8 +264,7 @@ def decode_tokens(encoded: DataFrame, book: Codebook, block: int = BLOCK) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 128):
-                b = batch.slice(a, 128)
+            for b in _runs(batch, C.column(batch, "n_tokens").to_pylist()):
                 s, n, c = (C.column(b, k).to_pylist() for k in ("bits", "n_tokens", "checkpoints"))
                 live = [i for i, x in enumerate(s) if x is not None]
                 got = dict(zip(live, book.decode([s[i] for i in live], [n[i] for i in live], [c[i] for i in live], block)))
