@@ -277,16 +277,17 @@ def train(docs: DataFrame, labels: DataFrame, vectors: Vectors, id_col: str = "d
 
     found = C.map_arrow(rows, run, "id string, quality int, toxic int, places binary, vector binary")
     found = C.cut(found.groupBy("id").agg(F.min(F.struct("places", "vector", "quality", "toxic")).alias("r")).select("id", "r.*"))
-    n = found.count()
+    ids = sorted(r.id for r in found.select("id").collect())
+    n = len(ids)
     if not n:
         return None
-    ids, x, y = [], np.zeros((n, OWN_DIM + CONTEXT_DIM), np.float16), np.zeros((n, 2), np.int64)
+    place = {i: int(k) for i, k in zip(ids, np.random.default_rng(1).permutation(n))}
+    x, y = np.zeros((n, OWN_DIM + CONTEXT_DIM), np.float16), np.zeros((n, 2), np.int64)
     for r in found.toLocalIterator():
-        x[len(ids), np.frombuffer(bytes(r.places), "<u2")] = np.frombuffer(bytes(r.vector), "<f2")
-        y[len(ids)] = r.quality, r.toxic
-        ids.append(r.id)
-    order = np.argsort(np.array(ids, object))[np.random.default_rng(1).permutation(n)]
-    return fit(x[order], y[order])
+        k = place[r.id]
+        x[k, np.frombuffer(bytes(r.places), "<u2")] = np.frombuffer(bytes(r.vector), "<f2")
+        y[k] = r.quality, r.toxic
+    return fit(x, y)
 
 
 def score(docs: DataFrame, vectors: Vectors, net: Network | None, id_col: str = "doc_id", text_col: str = "text", min_quality: float = 0.5, max_toxic: float = 0.5) -> DataFrame:
