@@ -154,9 +154,9 @@ def corpus_vectors(docs: DataFrame, text_col: str = "text") -> Vectors:
             yield pa.RecordBatch.from_arrays([pa.array(k[a : a + (1 << 16)].astype(np.int32)), pa.array(every[k[a : a + (1 << 16)]])], ["place", "v"])
 
     part = C.map_arrow(docs.select(F.col(text_col).alias("text")), run, "place int, v bigint")
-    p = part.groupBy("place").agg(F.sum("v").alias("v")).toPandas()  # as many rows as there are slots, whatever the corpus
+    p = part.groupBy("place").agg(F.sum("v").alias("v")).toArrow()  # as many rows as there are slots, whatever the corpus
     every = np.zeros(SLOTS + CONTEXT_SLOTS * CONTEXT_DIM + 1, np.int64)
-    every[p["place"]] = p["v"]
+    every[p["place"].to_numpy()] = p["v"].to_numpy()
     return Vectors(every[SLOTS:-1].reshape(CONTEXT_SLOTS, CONTEXT_DIM).astype(np.float32), every[:SLOTS], int(every[-1]))
 
 
