@@ -122,9 +122,9 @@ def _ranked(rows: DataFrame, bucket: Column, order: Sequence[Column]) -> DataFra
 
 def positions(hits: DataFrame, buckets: int = 256) -> DataFrame:
     """Hits (backend, doc_id, score) with their ``position``: best score first, ties by id. Hits of one score stay in one bucket."""
-    bounds = hits.groupBy("backend").agg(F.percentile_approx("score", [i / buckets for i in range(1, buckets)], 10_000).alias("__q"))
+    bounds = hits.groupBy("backend").agg(F.array_distinct(F.percentile_approx("score", [i / buckets for i in range(1, buckets)], 10_000)).alias("__q"))
     near = hits.join(F.broadcast(bounds), "backend")  # a row for each backend
-    above = F.size(F.filter(F.array_distinct("__q"), lambda q: q > F.col("score")))
+    above = F.size(F.filter("__q", lambda q: q > F.col("score")))
     return _ranked(near, above, [F.desc("score"), F.asc("doc_id")]).drop("__q").withColumnRenamed("rank", "position")
 
 

@@ -162,7 +162,7 @@ _HITS_SQL = f"{FILES}, c AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, (length(c
 def _hits(spark, sf):
     d, c = documents(spark, sf), F.col("content")
     both = d.select(F.col("doc_id").cast("string").alias("doc_id"), F.inline(F.array(F.struct(F.lit("lexical").alias("backend"), text.count_disjoint(c, "the").cast("double").alias("score")), F.struct(F.lit("semantic").alias("backend"), text.count_disjoint(c, "on").cast("double").alias("score"))))).where("score > 0")
-    return search.positions(both)
+    return search.positions(both.persist())  # narrow rows, read more than once
 
 
 @_register(f"WITH {_HITS_SQL} SELECT doc_id, round(sum(1.0 / (60.0 + rank)), 9) AS score FROM hits GROUP BY doc_id")
@@ -192,7 +192,7 @@ _PART = " + ".join(f"CASE WHEN df{i} > 0 THEN greatest(ln((n - df{i} + 0.5) / (d
 
 @_register(f"WITH {FILES}, t AS (SELECT doc_id, {_NLINES} AS len, {_TF} FROM files), s AS (SELECT count(*) AS n, avg(len) AS avgdl, {', '.join(f'count(*) FILTER (tf{i} > 0) AS df{i}' for i in range(len(TERMS)))} FROM t) SELECT doc_id, round({_PART}, 7) AS score FROM t, s WHERE {' OR '.join(f'tf{i} > 0' for i in range(len(TERMS)))}")
 def bm25(spark, sf):
-    return search.bm25(documents(spark, sf), TERMS).select("doc_id", F.round("score", 7).alias("score"))
+    return search.bm25(documents(spark, sf), TERMS, cut=DataFrame.persist).select("doc_id", F.round("score", 7).alias("score"))
 
 
 @_register("SELECT doc_id, round(CASE WHEN quality = 1 THEN 3.0 ELSE 0 END + CASE WHEN toxic = 0 THEN 1.5 ELSE 0 END + CASE WHEN doc_id % 7 > 0 THEN 0.5 * ln(1 + doc_id % 7) ELSE 0 END + CASE WHEN doc_id % 5 > 0 THEN 0.3 * ln(1 + doc_id % 5) ELSE 0 END - 0.05 * (doc_id % 4) + CASE WHEN doc_id % 2 > 0 THEN 0.1 ELSE 0 END, 9) AS score FROM labels")
