@@ -404,7 +404,7 @@ def path_parts(spark, sf):
     return _read(spark, sf, "documents").select("doc_id", plain.alias("path"), text.extension(plain).alias("extension"))
 
 
-@_register("SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'pypi' WHEN 1 THEN 'pypi' WHEN 2 THEN 'go' WHEN 3 THEN 'cargo' WHEN 4 THEN 'npm' ELSE 'crates.io' END AS ecosystem, CASE p_size % 6 WHEN 0 THEN 7.5 WHEN 1 THEN 9.8 END AS cvss FROM part")
+@_register("SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'pypi' WHEN 1 THEN 'pypi' WHEN 2 THEN 'go' WHEN 3 THEN 'cargo' WHEN 4 THEN 'npm' ELSE 'crates.io' END AS ecosystem, CAST(CASE p_size % 6 WHEN 0 THEN 7.5 WHEN 1 THEN 9.8 END AS DOUBLE) AS cvss FROM part")
 def advisory_fields(spark, sf):
     """Registry names, and scores from numbers and vectors."""
     n = F.col("p_size") % 6
