@@ -23,6 +23,17 @@ def test_content_patterns_run_over_line_ends_and_are_quoted(spark):
     assert got == {("a.js", "pattern", 2, "one\neval(\n  x)\nlast"), ("a.js", "pattern", 4, "eval(\n  x)\nlast"), ("b.txt", "pattern", 2, "a\\Eb\nfoo\nbar $1"), ("b.txt", "ioc", 1, "a\\Eb\nfoo\nbar $1"), ("b.txt", "ioc", 3, "a\\Eb\nfoo\nbar $1")}
 
 
+@pytest.mark.parametrize("order", [1, -1])
+def test_project_reports_the_first_version_of_a_package(spark, order):
+    """Of several versions of a package in one file the first as text is kept, however lines and files are ordered."""
+    held = ["2.10.0", "1.9.0", "2.9.0", "0.1.0", "1.10.0"][::order]
+    rows = [(f"p{i}/requirements.txt", "\n".join(f"a=={v}" for v in held[i:] + held[:i])) for i in range(5)] + [("p/src.txt", "x\nbad\nbad")]
+    adv = spark.createDataFrame([("A", 3, 5.0, "t", "d", [("pypi", "a", "1.0.0", "2.0.0", ""), ("pypi", "a", "2.0.0", "", "")], {"a": "9.0.0"}, [])], "id string, severity int, cvss double, title string, description string, affected array<struct<ecosystem:string,name:string,introduced:string,fixed:string,last_affected:string>>, fixed_versions map<string,string>, fix_templates array<struct<package:string>>")
+    found = vulnerabilities.scan_project(spark.createDataFrame(rows[::order], "path string, content string"), adv, [{"id": "A", "severity": 3, "patterns": [{"type": "trigram", "query": "bad"}]}])
+    got = {(r.path, r.package, r.version, r.fixed_in, r.line) for r in found.collect()}
+    assert got == {(f"p{i}/requirements.txt", "a", "1.10.0", "2.0.0", 0) for i in range(5)} | {("p/src.txt", "", "", "", 2)}
+
+
 def test_many_patterns_are_found_as_few_are(spark, monkeypatch):
     rng = np.random.default_rng(3)
     docs = spark.createDataFrame([(i, "\n".join("".join(rng.choice(list("abc \\E"), rng.integers(0, 9))) for _ in range(6))) for i in range(60)] + [(99, None), (98, "")], "path int, content string")
