@@ -208,10 +208,14 @@ class Table:
         return F.pmod(F.xxhash64(F.col(key)), F.lit(self.buckets)).cast("int")
 
     def _store(self, df: DataFrame, partition_by: Sequence[str] = ()) -> dict[str, str]:
-        """Write the rows to a new folder; the folder of each bucket there is."""
+        """Write the rows to a new folder; the folder of each bucket there is.
+
+        Rows that go to one place meet in a task only as far as the advisory
+        partition size of adaptive execution; what is beyond goes to further tasks and files.
+        """
         folder = f"v-{uuid.uuid4().hex}"
         rows = df.withColumn("__bucket", self._bucket(self.key))
-        rows.repartition(self.buckets, "__bucket", *partition_by).write.partitionBy("__bucket", *partition_by).parquet(f"{self.path}/{folder}")
+        rows.hint("rebalance", "__bucket", *partition_by).write.partitionBy("__bucket", *partition_by).parquet(f"{self.path}/{folder}")
         path, fs = self._hadoop(folder)
         names = [x.getPath().getName() for x in fs.listStatus(path)]
         self._schema(folder, df)

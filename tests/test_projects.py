@@ -141,6 +141,22 @@ def test_table_rewrites_touched_buckets_only(spark, tmp_path):
     assert t.read().count() == 0 and t.read().columns == ["k", "v"] and t.vacuum() >= 1
 
 
+def test_no_task_writes_a_large_bucket_alone(spark, tmp_path):
+    """However few the buckets, rows beyond the advisory partition size go to further tasks, and none is lost."""
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    rng = np.random.default_rng(5)
+    rows = [(i, f"r{i % 2}", rng.bytes(5000).hex()) for i in range(400)]  # 2 MB that don't compress
+    spark.conf.set(size, "100k")
+    try:
+        t = stores.Table(spark, str(tmp_path / "t"), "k", buckets=1)
+        t.write(spark.createDataFrame(rows, "k int, r string, v string").repartition(20), ["r"])
+    finally:
+        spark.conf.unset(size)
+    files = list((tmp_path / "t").glob("v-*/*/r=*/*.parquet"))
+    assert len(files) > 8 and max(f.stat().st_size for f in files) < 600_000
+    assert sorted(map(tuple, t.read().select("k", "r", "v").collect())) == rows
+
+
 def test_older_versions_and_repeated_batches_change_nothing(spark, tmp_path):
     (tmp_path / "in").mkdir()
     t = stores.Table(spark, str(tmp_path / "t"), "id")
