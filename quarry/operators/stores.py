@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -109,11 +109,16 @@ def union_by_id(parts: Sequence[DataFrame], key: str, *order: Column) -> DataFra
 def upsert(current: DataFrame, changes: DataFrame, key: str = "doc_id", created: str | None = None) -> DataFrame:
     """``current`` with the rows of ``changes`` in place of those of the same key; the first creation time stays."""
     if created:
-        old = current.select(F.col(key).alias("__k"), F.col(created).alias("__c"))
-        changes = changes.join(old, changes[key] == F.col("__k"), "left").withColumn(created, F.coalesce("__c", created)).drop("__k", "__c")
+        changes = keep_created(current, changes, key, created)
     return delete(current, changes.select(key), key).unionByName(changes)
 
 
+def keep_created(current: DataFrame, changes: DataFrame, key: str, created: str) -> DataFrame:
+    """``changes`` with the creation times that ``current`` has of their keys."""
+    old = current.select(F.col(key).alias("__k"), F.col(created).alias("__c"))
+    return changes.join(old, changes[key] == F.col("__k"), "left").withColumn(created, F.coalesce("__c", created)).drop("__k", "__c")
+
+
 def delete(current: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
     return current.join(keys.select(key).distinct(), key, "left_anti").select(*current.columns)
 
@@ -151,15 +156,21 @@ def newer(current: DataFrame, changes: DataFrame, key: str, order: str) -> DataF
 class Table:
     """A versioned Parquet table in buckets by the hash of its key.
 
-    Every write makes a new folder with the buckets it touches, and a pointer
-    file names the folder of each bucket, so that a small change rewrites
-    little. Readers of an old version aren't disturbed, and a failed write
+    A change is a layer over the buckets it touches: a new folder of its rows,
+    and one of the keys whose rows in lower layers hold no longer, so that it
+    writes little and moves no row that stays. A pointer file names the layers
+    of each bucket. A bucket of more than ``LAYERS`` layers, or most of whose
+    rows are gone, is written anew as one. Readers take the gone keys out by an
+    anti-join. Readers of an old version aren't disturbed, and a failed write
     leaves the pointer as it was. The pointer goes through the file system that
     the path names, and is replaced by one rename, which has to be atomic
     there. A batch number can be stored with it: what a stream has applied is
     known from the same file that makes it visible.
     """
 
+    #: Layers of a bucket, and bytes of gone keys up to which a reader holds them in memory.
+    LAYERS, HELD = 8, 64 << 20
+
     def __init__(self, spark: SparkSession, path: str, key: str = "doc_id", buckets: int = 16):
         self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
 
@@ -171,15 +182,20 @@ class Table:
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def state(self) -> dict:
-        """``parts``, the folder of every bucket, and ``batch``, the last batch applied (-1 for none)."""
+        """``parts``, the layers of every bucket from the lowest, and ``batch``, the last batch applied (-1 for none).
+
+        A pointer of an older version has one folder a bucket; its rows weren't counted.
+        """
         path, fs = self._hadoop("CURRENT")
         if not fs.exists(path):
             return {"parts": {}, "batch": -1, "exists": False}
         stream = fs.open(path)
         try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")) | {"exists": True}
+            found = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
+        parts = {b: [{"at": 0, "rows": p, "n": 0}] if isinstance(p, str) else p for b, p in found["parts"].items()}
+        return found | {"parts": parts, "exists": True}
 
     def _agree(self, key: str | None) -> dict:
         """The state, once it is known that ``key`` is the one that the buckets are made by."""
@@ -192,7 +208,7 @@ class Table:
             self.key = key
         return state
 
-    def _point(self, parts: dict[str, str], batch: int) -> None:
+    def _point(self, parts: dict[str, list[dict]], batch: int) -> None:
         jvm, (target, fs) = self.spark._jvm, self._hadoop("CURRENT")
         made, _ = self._hadoop(f".CURRENT-{uuid.uuid4().hex}")
         out = fs.create(made, True)
@@ -207,19 +223,33 @@ class Table:
     def _bucket(self, key: str) -> Column:
         return F.pmod(F.xxhash64(F.col(key)), F.lit(self.buckets)).cast("int")
 
-    def _store(self, df: DataFrame, partition_by: Sequence[str] = ()) -> dict[str, str]:
-        """Write the rows to a new folder; the folder of each bucket there is.
+    def _touched(self, rows: DataFrame) -> set[int]:
+        return {r[0] for r in rows.select(self._bucket(self.key)).distinct().collect()}  # a row for each bucket at most
+
+    def _write(self, df: DataFrame, partition_by: Sequence[str] = (), placed: bool = False) -> tuple[str, dict[str, tuple[str, int, int]]]:
+        """Write the rows to a new folder: its name, and the folder, rows and bytes of keys of each bucket there is.
 
         Rows that go to one place meet in a task only as far as the advisory
         partition size of adaptive execution; what is beyond goes to further tasks and files.
+        ``placed`` rows come from a table in the same buckets and stay where they are.
         """
         folder = f"v-{uuid.uuid4().hex}"
         rows = df.withColumn("__bucket", self._bucket(self.key))
-        rows.hint("rebalance", "__bucket", *partition_by).write.partitionBy("__bucket", *partition_by).parquet(f"{self.path}/{folder}")
+        rows = rows if placed else rows.hint("rebalance", "__bucket", *partition_by)
+        rows.write.partitionBy("__bucket", *partition_by).parquet(f"{self.path}/{folder}")
         path, fs = self._hadoop(folder)
-        names = [x.getPath().getName() for x in fs.listStatus(path)]
+        names = [n for x in fs.listStatus(path) if (n := x.getPath().getName()).startswith("__bucket=")]
+        if not names:
+            return folder, {}
+        size = F.sum(F.coalesce(F.octet_length(F.col(self.key).cast("string")), F.lit(0)) + 32)
+        counts = self.spark.read.parquet(f"{self.path}/{folder}").groupBy("__bucket").agg(F.count("*"), size).collect()
+        return folder, {str(b): (f"{folder}/__bucket={b}", n, size) for b, n, size in counts}
+
+    def _store(self, df: DataFrame, at: int, partition_by: Sequence[str] = (), placed: bool = False) -> dict[str, dict]:
+        """A layer of these rows for each bucket that they are in."""
+        folder, made = self._write(df, partition_by, placed)
         self._schema(folder, df)
-        return {n.removeprefix("__bucket="): f"{folder}/{n}" for n in names if n.startswith("__bucket=")}
+        return {b: {"at": at, "rows": f, "n": n} for b, (f, n, _) in made.items()}
 
     def _schema(self, folder: str, df: DataFrame) -> None:
         path, fs = self._hadoop("SCHEMA")
@@ -228,17 +258,35 @@ class Table:
             out.write(bytearray(df.schema.json().encode()))
             out.close()
 
+    def _rows(self, parts: dict[str, list[dict]], only: Sequence[int] | set[int] | None = None) -> DataFrame | None:
+        """The rows that hold, of all or some buckets; None where there is no layer of rows."""
+        layers = [x for b, p in sorted(parts.items()) if only is None or int(b) in only for x in p]
+
+        def scans(what: str) -> list[DataFrame]:
+            """One scan for each folder, with the number of its layer."""
+            roots: dict[tuple[int, str], list[str]] = {}
+            for x in layers:
+                if what in x:
+                    roots.setdefault((x["at"], x[what].split("/")[0]), []).append(f"{self.path}/{x[what]}")
+            return [self.spark.read.option("basePath", f"{self.path}/{v}").parquet(*p).drop("__bucket").withColumn("__at", F.lit(at)) for (at, v), p in sorted(roots.items())]
+
+        rows, gone = scans("rows"), scans("gone")
+        if not rows:
+            return None
+        out = reduce(DataFrame.unionByName, rows)
+        if gone:
+            keys = reduce(DataFrame.unionByName, gone).select(F.col(self.key).alias("__k"), F.col("__at").alias("__gone"))
+            small = sum(x.get("gone_bytes", 0) for x in layers) <= self.HELD  # else it is left to a shuffled join
+            out = out.join(F.broadcast(keys) if small else keys, (F.col(self.key) == F.col("__k")) & (F.col("__gone") > F.col("__at")), "left_anti")
+        return out.drop("__at")
+
     def read(self, only: Sequence[int] | None = None) -> DataFrame | None:
         """All rows, or those of some buckets; None for a table never written."""
         state = self.state()
         if not state["exists"]:
             return None
-        roots: dict[str, list[str]] = {}
-        for k, f in sorted(state["parts"].items()):
-            if only is None or int(k) in only:
-                roots.setdefault(f.split("/")[0], []).append(f"{self.path}/{f}")
-        if roots:  # one scan for each folder, of which there are no more than buckets
-            return reduce(DataFrame.unionByName, [self.spark.read.option("basePath", f"{self.path}/{v}").parquet(*r).drop("__bucket") for v, r in roots.items()])
+        if (rows := self._rows(state["parts"], only)) is not None:
+            return rows
         path, fs = self._hadoop("SCHEMA")
         stream = fs.open(path)
         try:
@@ -247,53 +295,72 @@ class Table:
             stream.close()
         return self.spark.createDataFrame([], StructType.fromJson(json.loads(text)))
 
-    def write(self, df: DataFrame, partition_by: Sequence[str] = (), batch: int = -1) -> None:
-        self._point(self._store(df, partition_by), batch)
-
-    def _rewrite(self, state: dict, touching: DataFrame, change: Callable[[DataFrame], DataFrame], batch: int | None) -> None:
-        """Replace the buckets of the keys in ``touching`` by what ``change`` makes of their rows."""
-        touched = [r[0] for r in touching.select(self._bucket(self.key)).distinct().collect()]  # a row for each bucket at most
-        if touched:
-            made = self._store(change(self.read(touched)))
-            state["parts"] = {k: f for k, f in state["parts"].items() if int(k) not in touched} | made
-        self._point(state["parts"], state["batch"] if batch is None else batch)
-
-    def put(self, changes: DataFrame, key: str | None = None, created: str | None = None, order: str | None = None, removed: DataFrame | None = None, batch: int | None = None) -> None:
+    def write(self, df: DataFrame, partition_by: Sequence[str] = (), batch: int = -1, placed: bool = False) -> DataFrame | None:
+        """Make ``df`` the whole table; the rows as written, as :meth:`put` gives them."""
+        made = {b: [x] for b, x in self._store(df, 1, partition_by, placed).items()}
+        self._point(made, batch)
+        return self._rows(made)
+
+    def _lay(self, state: dict, rows: DataFrame | None, gone: DataFrame | None, own: bool = False, batch: int | None = None, placed: bool = False) -> DataFrame | None:
+        """Lay ``rows`` over the table, in which those of the keys in ``gone``, and with ``own`` of the keys of ``rows``, hold no longer; the rows as written."""
+        parts, key = dict(state["parts"]), self.key
+        at = 1 + max((x["at"] for p in parts.values() for x in p), default=0)
+        made = {} if rows is None else self._store(rows, at, placed=placed)
+        written = self._rows({b: [x] for b, x in made.items()})
+        keys = ([written.select(key)] if own and written is not None else []) + ([] if gone is None else [gone.select(key)])
+        if keys and parts:
+            touched = ({*map(int, made)} if own else set()) | (set() if gone is None else self._touched(gone))
+            if (now := self._rows(parts, touched)) is not None:
+                lost = now.select(key).join(reduce(DataFrame.unionByName, keys), key, "left_semi").distinct()  # keys that aren't there need no mark
+                for b, (f, n, size) in self._write(lost)[1].items():
+                    made[b] = {"at": at} | made.get(b, {}) | {"gone": f, "gone_n": n, "gone_bytes": size}
+        for b, x in made.items():
+            parts[b] = [*parts.get(b, []), x]
+        total = lambda b, what: sum(x.get(what, 0) for x in parts[b])
+        worn = {int(b) for b in made if len(parts[b]) > self.LAYERS or 2 * total(b, "gone_n") > total(b, "n")}
+        if worn and (now := self._rows(parts, worn)) is not None:
+            parts = {b: p for b, p in parts.items() if int(b) not in worn} | {b: [x] for b, x in self._store(now, at + 1).items()}
+        self._point(parts, state["batch"] if batch is None else batch)
+        return written
+
+    def put(self, changes: DataFrame, key: str | None = None, created: str | None = None, order: str | None = None, removed: DataFrame | None = None, batch: int | None = None) -> DataFrame | None:
         """Rows of ``changes`` take the place of those of their key, and the keys of ``removed`` go.
 
         ``created`` names a time that stays that of the first version, ``order``
         a column in which a change must not be behind the row it replaces.
+        Gives the rows as written, None for none: what is derived from them needn't work out ``changes`` again.
         """
         state = self._agree(key)
         key = self.key
         if not state["exists"]:
             return self.write(changes, batch=-1 if batch is None else batch)
-
-        def change(now: DataFrame) -> DataFrame:
-            rows = newer(now, changes, key, order) if order else changes
-            now = delete(now, removed, key) if removed is not None else now
-            return upsert(now, rows, key, created)
-
-        touching = changes.select(key) if removed is None else changes.select(key).unionByName(removed.select(key))
-        self._rewrite(state, touching, change, batch)
-
-    def put_all_of(self, rows: DataFrame, of: DataFrame, key: str | None = None) -> None:
-        """Replace every row of the keys in ``of`` by those in ``rows``: a table with many rows of a key."""
+        now = self._rows(state["parts"], self._touched(changes)) if created or order else None
+        if now is not None:
+            changes = newer(now, changes, key, order) if order else changes
+            kept = now if removed is None else delete(now, removed, key)
+            changes = keep_created(kept, changes, key, created) if created else changes
+        return self._lay(state, changes, removed, own=True, batch=batch)
+
+    def put_all_of(self, rows: DataFrame, of: DataFrame, key: str | None = None, placed: bool = False) -> None:
+        """Replace every row of the keys in ``of`` by those in ``rows``: a table with many rows of a key.
+
+        ``placed`` tells that ``rows`` are made of what a table in the same
+        buckets holds, each beside its source: they aren't moved then.
+        """
         state = self._agree(key)
-        key = self.key
         if not state["exists"]:
-            return self.write(rows)
-        self._rewrite(state, of.select(key).unionByName(rows.select(key)), lambda now: delete(now, of.select(key), key).unionByName(rows), None)
+            self.write(rows, placed=placed)
+        else:
+            self._lay(state, rows, of, placed=placed)
 
     def remove(self, keys: DataFrame, key: str | None = None) -> None:
         state = self._agree(key)
-        key = self.key
         if state["exists"]:
-            self._rewrite(state, keys.select(key), lambda now: delete(now, keys, key), None)
+            self._lay(state, None, keys)
 
     def vacuum(self) -> int:
         """Drop the folders that the pointer doesn't name; returns how many. No reader of an older version may be left."""
-        used = {f.split("/")[0] for f in self.state()["parts"].values()}
+        used = {x[what].split("/")[0] for p in self.state()["parts"].values() for x in p for what in ("rows", "gone") if what in x}
         path, fs = self._hadoop()
         old = [x.getPath() for x in fs.listStatus(path) if x.getPath().getName().startswith("v-") and x.getPath().getName() not in used]
         for p in old:

@@ -136,12 +136,16 @@ class Store:
 
     def index(self, changes: DataFrame, created: str | None = None) -> None:
         """Add or replace documents, and everything derived from them: nothing of an older version stays in any table."""
-        ids = changes.select("doc_id")
-        self.tables["documents"].put(changes, created=created)
-        self.tables["postings"].put_all_of(text.trigram_postings(changes, "doc_id", "content"), ids)
-        self.tables["symbols"].put_all_of(_symbols_of(changes), ids)
+        written = self.tables["documents"].put(changes, created=created)
+        rows = changes.limit(0) if written is None else written  # in the buckets that all tables have, where what is made of them stays
+        ids = rows.select("doc_id")
+        held = self.tables["postings"].read()
+        flat = held is not None and "trigram" in held.columns  # a store of an older version, with a row for each trigram
+        grams = text.trigram_postings if flat else text.trigram_lists
+        self.tables["postings"].put_all_of(grams(rows, "doc_id", "content"), ids, placed=True)
+        self.tables["symbols"].put_all_of(_symbols_of(rows), ids, placed=True)
         if self.embed is not None:
-            self.tables["embeddings"].put_all_of(changes.select("doc_id", text.hash_embedding(F.col("content"), self.dimensions).alias("values")), ids)
+            self.tables["embeddings"].put_all_of(rows.select("doc_id", text.hash_embedding(F.col("content"), self.dimensions).alias("values")), ids, placed=True)
 
     def remove(self, ids: DataFrame) -> None:
         for t in self.tables.values():
@@ -152,6 +156,8 @@ class Store:
         found = {n: t.read() for n, t in self.tables.items()}
         if found["documents"] is None:
             raise ValueError("nothing is indexed yet")
+        if "trigrams" in found["postings"].columns:
+            found["postings"] = found["postings"].select(F.explode("trigrams").alias("trigram"), "doc_id")
         return Engine(found["documents"], found["postings"], found["embeddings"] if self.embed else None, self.embed, found["symbols"])
 
 

@@ -141,6 +141,52 @@ def test_table_rewrites_touched_buckets_only(spark, tmp_path):
     assert t.read().count() == 0 and t.read().columns == ["k", "v"] and t.vacuum() >= 1
 
 
+def test_a_change_writes_no_row_that_stays(spark, tmp_path):
+    """Keys of every bucket change and go: what is written is the changed rows and the keys, not the buckets; nor are rows of a key worked out twice."""
+    t = stores.Table(spark, str(tmp_path / "t"), "k", buckets=2)
+    t.put(spark.range(1000).selectExpr("id k", "'old' v"))
+    first = set((tmp_path / "t").iterdir())
+    calls = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+
+    t.put_all_of(spark.range(0, 1000, 10).selectExpr("id k", "'new' v").mapInArrow(count, "k bigint, v string"), spark.range(0, 1000, 10).selectExpr("id k"))
+    t.remove(spark.range(5, 1000, 10).selectExpr("id k"))
+    new = [spark.read.parquet(str(f)) for f in set((tmp_path / "t").iterdir()) - first if f.name.startswith("v-")]
+    assert sum(x.count() for x in new) == 300 and sum(x.count() for x in new if "v" in x.columns) == 100 and calls.value == 100
+    assert {(r.k, r.v) for r in t.read().collect()} == {(k, "old" if k % 10 else "new") for k in range(1000) if k % 10 != 5}
+
+
+def test_layers_hold_what_a_plain_table_holds(spark, tmp_path, monkeypatch):
+    """Random changes beyond the number of layers, with keys held in memory or joined, from a pointer of one folder a bucket on."""
+    monkeypatch.setattr(stores.Table, "LAYERS", 3)
+    rng = np.random.default_rng(11)
+    t = stores.Table(spark, str(tmp_path / "t"), "k", buckets=2)
+    schema = "k int, v int, made int, seen int"
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    want = {k: (0, 0, 0) for k in range(60)}
+    t.put(frame([(k, *v) for k, v in want.items()]))
+    pointer = json.loads((tmp_path / "t" / "CURRENT").read_text())
+    old = pointer | {"parts": {b: p[0]["rows"] for b, p in pointer["parts"].items()}}
+    (tmp_path / "t" / "CURRENT").write_text(json.dumps(old))
+    (tmp_path / "t" / ".CURRENT.crc").unlink(missing_ok=True)
+    deepest = 0
+    for n in range(1, 8):
+        monkeypatch.setattr(stores.Table, "HELD", 0 if n % 2 else 1 << 20)
+        keys, gone = (rng.choice(80, m, replace=False).tolist() for m in (6, 3))
+        rows = {k: (n, n, int(rng.integers(0, 8))) for k in keys}
+        t.put(frame([(k, *v) for k, v in rows.items()]), created="made", order="seen", removed=frame([(k, 0, 0, 0) for k in gone]).select("k"))
+        taken = {k: v for k, v in rows.items() if k not in want or v[2] >= want[k][2]}
+        want = {k: v for k, v in want.items() if k not in gone}
+        want |= {k: (v[0], want[k][1] if k in want else v[1], v[2]) for k, v in taken.items()}
+        assert {r.k: (r.v, r.made, r.seen) for r in t.read().collect()} == want
+        deepest = max([deepest, *map(len, t.state()["parts"].values())])
+    assert t.read().count() == len(want) and deepest == 3
+
+
 def test_no_task_writes_a_large_bucket_alone(spark, tmp_path):
     """However few the buckets, rows beyond the advisory partition size go to further tasks, and none is lost."""
     size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
