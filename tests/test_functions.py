@@ -1,5 +1,9 @@
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from quarry.functions import cel, fuzzy, git, regex, semver, text
 
@@ -103,3 +107,18 @@ def test_postings_against_brute_force(spark):
     rows = [(1, "abcabc"), (2, "añb\ncde"), (3, None), (4, "ab")]
     got = {(r.trigram, r.id) for r in text.trigram_postings(spark.createDataFrame(rows, "id int, t string"), "id", "t").collect()}
     assert got == {(g[0] << 16 | g[1] << 8 | g[2], i) for i, t in rows for g in regex.trigrams((t or "").encode())}
+
+
+def test_embedding_holds_no_copy_of_its_batch(spark):
+    """Texts stay in the Arrow batch: neither Spark nor the function makes Python objects of them all."""
+    texts = [f"{i} " * 20_000 for i in range(100)] + [None, "", " É! "]
+    batch = pa.array(texts)
+    tracemalloc.start()
+    got = text.embed_array(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == [text.embed_text(t) for t in texts] and peak < 0.5 * batch.nbytes
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", text.hash_embedding(F.col("t"), 8).alias("v"))
+    assert {r.i: r.v for r in df.collect()} == {i: text.embed_text(t, 8) for i, t in enumerate(texts)}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert f"], {PythonEvalType.SQL_SCALAR_ARROW_UDF}" in plan and f"], {PythonEvalType.SQL_SCALAR_PANDAS_UDF}" not in plan
